@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets, token_counts
+from . import bpe, secrets, simhash, token_counts
 from .common import table
 
 
@@ -24,8 +24,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), decoded=True))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op3_secrets": op3_secrets, "op7_bpe": op7_bpe}
+    return {"op1_token_counts": op1_token_counts, "op3_secrets": op3_secrets, "op7_bpe": op7_bpe, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
