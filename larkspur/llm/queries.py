@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets, simhash, token_counts
+from . import bpe, secrets, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -28,8 +28,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rejected(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op3_secrets": op3_secrets, "op7_bpe": op7_bpe, "op9_simhash": op9_simhash}
+    return {
+        "op1_token_counts": op1_token_counts,
+        "op3_secrets": op3_secrets,
+        "op7_bpe": op7_bpe,
+        "op9_simhash": op9_simhash,
+        "op10_toxicity": op10_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
