@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets, simhash, token_counts, toxicity
+from . import bpe, chat, secrets, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.with_listed_mask(chat.rotate(table(spark, sf_dir, "conversations")))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(spark, table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_chat": op2_chat,
         "op3_secrets": op3_secrets,
         "op7_bpe": op7_bpe,
         "op9_simhash": op9_simhash,
@@ -43,4 +48,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat": chat.ORACLE_SQL}
