@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, secrets, simhash, token_counts, toxicity
+from . import bpe, chat, decontaminate, secrets, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -24,6 +24,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(documents, benchmark)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), decoded=True))
 
@@ -41,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_chat": op2_chat,
         "op3_secrets": op3_secrets,
+        "op5_decontaminate": op5_decontaminate,
         "op7_bpe": op7_bpe,
         "op9_simhash": op9_simhash,
         "op10_toxicity": op10_toxicity,
