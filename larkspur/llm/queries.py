@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, secrets, simhash, token_counts, toxicity
+from . import bpe, chat, decontaminate, line_rules, secrets, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.contaminated(documents, benchmark)
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_chat": op2_chat,
         "op3_secrets": op3_secrets,
+        "op4_line_rules": op4_line_rules,
         "op5_decontaminate": op5_decontaminate,
         "op7_bpe": op7_bpe,
         "op9_simhash": op9_simhash,
@@ -54,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.ORACLE_SQL}
+    return {"op2_chat": chat.ORACLE_SQL, "op4_line_rules": line_rules.ORACLE_SQL}
