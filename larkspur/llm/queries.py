@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, line_rules, secrets, simhash, token_counts, toxicity
+from . import bpe, chat, chunk_dedup, decontaminate, line_rules, secrets, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), decoded=True))
 
 
+def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.repeated_runs(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_rules": op4_line_rules,
         "op5_decontaminate": op5_decontaminate,
         "op7_bpe": op7_bpe,
+        "op8_chunk_dedup": op8_chunk_dedup,
         "op9_simhash": op9_simhash,
         "op10_toxicity": op10_toxicity,
     }
