@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..plans.runtime import ship, stored
+
+__all__ = ["BATCH_ROWS", "WORD_SEPARATORS", "map_arrow", "stored", "table", "text_bytes"]
 
 #: Rows that one Arrow batch carries to a Python worker. Texts may be long, so batches are short;
 #: a worker then holds a few MB of text at a time, however many rows its partition has.
@@ -17,26 +19,6 @@ BATCH_ROWS = 256
 WORD_SEPARATORS = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; our own default only where none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    return folder.rstrip("/") if folder else "/tmp/checkpoints"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage and survives lost executors. The schema is taken from ``df``, so that an
-    empty table reads back too.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/larkspur-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,7 +29,8 @@ def map_arrow(
     schema: str,
     batch_rows: int = BATCH_ROWS,
 ) -> DataFrame:
-    """``mapInArrow`` in short batches."""
+    """``mapInArrow`` in short batches, by functions of this package."""
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     return df.mapInArrow(fn, schema)
 
@@ -57,7 +40,3 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
-
-def ascii_lower(column):
-    """Lower-case A to Z only."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
