@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, chunk_dedup, decontaminate, line_rules, secrets, simhash, token_counts, toxicity
+from . import (
+    bpe,
+    chat,
+    chunk_dedup,
+    decontaminate,
+    lattice_lm,
+    line_rules,
+    secrets,
+    simhash,
+    token_counts,
+    toxicity,
+)
 from .common import table
 
 
@@ -33,6 +44,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents, benchmark)
 
 
+def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), decoded=True))
 
@@ -56,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secrets": op3_secrets,
         "op4_line_rules": op4_line_rules,
         "op5_decontaminate": op5_decontaminate,
+        "op6_lattice_lm": op6_lattice_lm,
         "op7_bpe": op7_bpe,
         "op8_chunk_dedup": op8_chunk_dedup,
         "op9_simhash": op9_simhash,
