@@ -16,8 +16,8 @@ other is not. Matches whose values are all equal are ``exact``.
 Only windows that the benchmark holds survive the join. The benchmark's windows are broadcast if
 they are at most ``BROADCAST_WINDOWS``, and joined by hash otherwise.
 
-Null and empty texts, on either side, match nothing. Repeated documents are all reported. Empty
-tables give an empty result.
+Null and empty texts, on either side, match nothing. Repeated documents are one, under their
+doc_id; documents without doc_id can't be reported. Empty tables give an empty result.
 """
 
 from __future__ import annotations
