@@ -277,9 +277,9 @@ def midpoint_links(dense: DataFrame) -> DataFrame:
     return posted.join(met, "middle").filter("a <> b").select("a", "b").distinct()
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node, label``: for nodes that have links, the least ``node`` reachable along ``links``
-    (``a, b``). ``nodes`` isn't needed for that, nodes without links being their own component.
+    (``a, b``). Nodes without links are their own component and have no row.
 
     Each round takes the least label among a node and its neighbours, for the node and for the
     node that its label names, and then follows labels twice; rounds grow with the logarithm of a
@@ -324,7 +324,7 @@ def near_duplicates(docs: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row."""
     rows = stored(fingerprints(docs), "fingerprints")
     groups = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
-    labels = components(groups, links_of(groups, limit)).toDF("fp", "label")
+    labels = components(links_of(groups, limit)).toDF("fp", "label")
     # From labels, which name fingerprints, to the least document of each component.
     named = groups.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     heads = named.filter("label is not null").groupBy("label").agg(F.min("least").alias("component_id"))

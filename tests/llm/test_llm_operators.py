@@ -370,7 +370,7 @@ def test_long_chains_of_links(spark):
     rnd.shuffle(order)
     rows = [(a, b) for a, b in zip(order, order[1:])] + [(100, 101), (102, 101)]
     links = spark.createDataFrame(rows, "a long, b long")
-    got = {r.node: r.label for r in simhash.components(links, links).collect()}
+    got = {r.node: r.label for r in simhash.components(links).collect()}
     assert got == {k: 0 for k in range(60)} | {100: 100, 101: 100, 102: 100}
 
 
