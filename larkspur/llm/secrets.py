@@ -33,7 +33,7 @@ from .common import map_arrow
 #: Order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "markov")
 #: Documents, those with the least doc_id, whose tokens train the models.
-TRAIN_DOCS = 2000
+TRAIN_DOCS = 200
 #: Characters that a run needs to be judged by the models.
 MIN_RUN = 20
 #: Distinct characters that such a run needs; fewer make rules and padding.
