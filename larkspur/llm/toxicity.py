@@ -34,6 +34,8 @@ from .common import map_arrow, text_bytes
 TRAIN_DOCS = 16_000
 #: Features of each category, those with the largest chi-square.
 TOP_FEATURES = 1024
+#: Training documents that a feature needs.
+MIN_DOCS = 3
 #: Features below it are left out: among a million features chance reaches 15 about a hundred times.
 MIN_CHI_SQUARE = 15.0
 FOLDS = 5
@@ -178,19 +180,24 @@ def fit_chain(
     n = len(features)
     lengths = np.array([len(x) for x in features], np.int64)
     flat = np.concatenate(features) if n else np.empty(0, np.uint32)
-    known, ids = np.unique(flat, return_inverse=True)
-    frequent = np.bincount(ids, minlength=len(known)) >= 3
+    known, seen = np.unique(flat, return_counts=True)
+    known = known[seen >= MIN_DOCS]
+    ids = np.empty(len(flat), np.int32)
+    for i in range(0, len(flat), 1 << 20):
+        ids[i : i + (1 << 20)] = np.searchsorted(known, flat[i : i + (1 << 20)])
+    ids = np.minimum(ids, max(len(known) - 1, 0))
+    held = known[ids] == flat if len(known) else np.zeros(len(flat), bool)
+    row = np.repeat(np.arange(n, dtype=np.int32), lengths)[held]
+    ids, lengths = ids[held], np.bincount(row, minlength=n)
+    del flat, held
     keep = np.zeros(len(known), bool)
     for y in labels.values():
         have = ~np.isnan(y)
-        score = chi_square(ids[np.repeat(have, lengths)], lengths[have], y[have], len(known))
-        score[~frequent] = 0
+        score = chi_square(ids[have[row]], lengths[have], y[have], len(known))
         best = np.argsort(-score, kind="stable")[:TOP_FEATURES]
         keep[best[score[best] >= MIN_CHI_SQUARE]] = True
-    keep &= frequent
     number = np.cumsum(keep) - 1
     used = keep[ids]
-    row = np.repeat(np.arange(n), lengths)
     mean = shapes.mean(axis=0) if n else np.zeros(N_SHAPES)
     scale = np.maximum(shapes.std(axis=0), 1e-6) if n else np.ones(N_SHAPES)
     rows = Rows(number[ids[used]], np.bincount(row[used], minlength=n), (shapes - mean) / scale)
