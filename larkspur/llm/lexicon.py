@@ -33,24 +33,22 @@ def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
             counts.append(final + sum(counts[to] for _, to in edges))
         return at
 
-    # The path of the last word: for each depth, whether a word ends there and the edges closed.
-    finals, closed, path = [False], [[]], b""
+    # The last word, and for each of its prefixes whether a word ends there and the edges closed.
+    path, finals, closed = bytearray(), [False], [[]]
 
     def shorten(depth: int) -> None:
-        while len(path_bytes) > depth:
-            label = path_bytes.pop()
+        while len(path) > depth:
+            label = path.pop()
             state = freeze(finals.pop(), closed.pop())
             closed[-1].append((label, state))
 
-    path_bytes = bytearray(path)
     for word, _ in entries:
-        common = 0
-        limit = min(len(word), len(path_bytes))
-        while common < limit and word[common] == path_bytes[common]:
+        common, limit = 0, min(len(word), len(path))
+        while common < limit and word[common] == path[common]:
             common += 1
         shorten(common)
         for label in word[common:]:
-            path_bytes.append(label)
+            path.append(label)
             finals.append(False)
             closed.append([])
         finals[-1] = True

@@ -20,7 +20,7 @@ from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow
@@ -122,7 +122,7 @@ def suffix_sums(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def truncated_total(sums: DataFrame, limit: int) -> Column | DataFrame:
+def truncated_total(sums: DataFrame, limit: int) -> DataFrame:
     """One row, ``truncated_tokens``: the tokens left when documents are cut at ``limit``."""
     cut = F.least(F.col("n_tokens"), F.lit(limit)) * F.col("n_docs")
     return sums.agg(F.coalesce(F.sum(cut), F.lit(0)).cast("long").alias("truncated_tokens"))
