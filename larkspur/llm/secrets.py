@@ -6,10 +6,10 @@ on random strings and one on ordinary identifiers: a run whose mean log-likeliho
 transition exceeds a threshold is reported as kind ``markov``. Such runs never overlap base spans.
 
 The models are trained from labelled samples: tokens with a label 1 (random) or 0 (ordinary).
-``corpus_samples`` takes them from a bounded number of documents (``TRAIN_DOCS``): values of base
-matches are random, the other tokens are ordinary. ``drawn_samples`` adds random strings over the
-usual key alphabets, so that alphabets the corpus happens to lack are known too. Only transition
-counts, at most 2 x 68 x 68 numbers, reach the driver.
+``corpus_counts`` takes them from all documents: values of base matches are random, the other
+tokens are ordinary. ``drawn_samples`` adds random strings over the usual key alphabets, so that
+alphabets the corpus happens to lack are known too. Transitions are counted where the documents
+are read; only the counts, at most 2 x 68 x 68 numbers, reach the driver.
 
 Null and empty texts have no spans. Rows are scanned one by one: repeated rows and ties have no
 effect, an empty table gives an empty result (the models then rest on the drawn samples alone).
@@ -32,8 +32,8 @@ from .common import map_arrow
 
 #: Order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "markov")
-#: Documents, those with the least doc_id, whose tokens train the models.
-TRAIN_DOCS = 200
+#: Characters of text whose distinct tokens a task holds before it counts their transitions.
+COUNT_CHARS = 2_000_000
 #: Characters that a run needs to be judged by the models.
 MIN_RUN = 20
 #: Distinct characters that such a run needs; fewer make rules and padding.
@@ -61,6 +61,9 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 SIZE = len(SYMBOLS)
 CODE = {c: k for k, c in enumerate(SYMBOLS)}
+#: By byte; others, such as the line feed between tokens, count as SIZE.
+CODES = np.full(256, SIZE, np.int64)
+CODES[np.frombuffer(SYMBOLS.encode(), np.uint8)] = np.arange(SIZE)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -123,75 +126,78 @@ def drawn_samples(n: int = 400, seed: int = 42) -> list[tuple[str, int]]:
     ]
 
 
-def corpus_samples(docs: DataFrame, n_docs: int = TRAIN_DOCS) -> DataFrame:
-    """``token, label`` of at most ``n_docs`` documents, those with the least doc_id."""
-    ids = docs.select("doc_id").dropna().orderBy("doc_id").limit(n_docs)
-    last = ids.agg(F.max("doc_id")).first()[0]
-    some = docs.select("doc_id", "text").filter(F.col("doc_id") <= F.lit(last)).limit(n_docs)
+def _tally(table: np.ndarray, tokens: list[str], times: list[int]) -> None:
+    """Add the transitions of each token, so many times, to ``table``."""
+    if not tokens:
+        return
+    codes = CODES[np.frombuffer("\n".join(tokens).encode(), np.uint8)]
+    weights = np.repeat(times, [len(t) + 1 for t in tokens])[: len(codes) - 1]
+    pairs = np.bincount(codes[:-1] * (SIZE + 1) + codes[1:], weights, (SIZE + 1) ** 2)
+    table += pairs.reshape(SIZE + 1, SIZE + 1)[:SIZE, :SIZE].astype(np.int64)
+
+
+def joined_identifiers(token: str) -> tuple[str, ...]:
+    """An ordinary token, also with the joints and cases of identifiers."""
+    low, title, upper = token.lower(), token.capitalize(), token.upper()
+    return (
+        token,
+        f"{low}{title}{title}2",
+        f"{low}_{low}_1",
+        f"{low}-{title}-v3",
+        f"{low}/{title}/{low}",
+        f"{low}={low}",
+        f"{upper}_{upper}",
+        f"{low}//{low}",
+    )
+
+
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """``label, a, b, n``: how often character ``b`` follows ``a`` in the tokens of all documents,
+    in parts. Values of base matches are random; other tokens are ordinary, and joined ones too."""
+
+    def count(batches):
+        table = np.zeros((2, SIZE, SIZE), np.int64)
+        ordinary, chars = Counter(), 0
+
+        def flush():
+            times = list(ordinary.values())
+            for tokens in zip(*map(joined_identifiers, ordinary)):
+                _tally(table[0], tokens, times)
+            ordinary.clear()
 
-    def label(batches):
         for batch in batches:
-            tokens, labels = [], []
-            for text in batch.column(1).to_pylist():
+            found = []
+            for text in batch.column(0).to_pylist():
                 text = text or ""
-                spans = base_spans(text)
-                at, rest = 0, []
-                for start, kind, end in spans:
-                    found = text[start:end]
-                    tokens.append(ASSIGN.match(found)[2] if kind == 0 else found)
-                    labels.append(1)
-                    rest.append(text[at:start])
+                at = 0
+                for start, kind, end in base_spans(text):
+                    match = text[start:end]
+                    found.append(ASSIGN.match(match)[2] if kind == 0 else match)
+                    ordinary.update(TOKEN.findall(text[at:start]))
                     at = max(at, end)
-                for part in [*rest, text[at:]]:
-                    own = TOKEN.findall(part)
-                    tokens += own
-                    labels += [0] * len(own)
-            yield pa.RecordBatch.from_pydict(
-                {"token": pa.array(tokens, pa.string()), "label": pa.array(labels, pa.int32())}
-            )
-
-    return map_arrow(some, label, "token string, label int")
-
-
-def joined_identifiers(tokens: DataFrame) -> DataFrame:
-    """Samples whose ordinary tokens also come with the joints and cases of identifiers."""
-    plain = tokens.filter("label = 0")
-    low, title = F.lower("token"), F.initcap("token")
-    joined = [
-        F.col("token"),
-        F.concat(low, title, title, F.lit("2")),
-        F.concat_ws("_", low, low, F.lit("1")),
-        F.concat_ws("-", low, title, F.lit("v3")),
-        F.concat_ws("/", low, title, low),
-        F.concat_ws("=", low, low),
-        F.concat_ws("_", F.upper("token"), F.upper("token")),
-        F.concat_ws("//", low, low),
-    ]
-    both = plain.select(F.explode(F.array(*joined)).alias("token"), "label")
-    return both.unionByName(tokens.filter("label = 1").select("token", "label"))
-
-
-def train(samples: DataFrame | None, drawn: list[tuple[str, int]]) -> MarkovPair:
-    """Fit both models on labelled samples; the table's transitions are counted on the executors."""
+                ordinary.update(TOKEN.findall(text[at:]))
+                chars += len(text)
+                if chars >= COUNT_CHARS:
+                    flush()
+                    chars = 0
+            _tally(table[1], found, [1] * len(found))
+        flush()
+        places = np.nonzero(table)
+        yield pa.RecordBatch.from_pydict(
+            {k: pa.array(v, pa.int64()) for k, v in zip(("label", "a", "b", "n"), (*places, table[places]))}
+        )
+
+    return map_arrow(docs.select("text"), count, "label long, a long, b long, n long")
+
+
+def train(counted: DataFrame | None, drawn: list[tuple[str, int]]) -> MarkovPair:
+    """Fit both models on the transitions ``label, a, b, n`` of a table and on labelled samples."""
     counts: Counter = Counter()
     for token, label in drawn:
         for (a, b), n in transitions(token).items():
             counts[label, a, b] += n
-    if samples is not None:
-
-        def count(batches):
-            seen: Counter = Counter()
-            for batch in batches:
-                for token, label in zip(*(c.to_pylist() for c in batch.columns[:2])):
-                    for (a, b), n in transitions(token or "").items():
-                        seen[label, a, b] += n
-            keys = list(seen)
-            columns = {name: [k[i] for k in keys] for i, name in enumerate(("label", "a", "b"))}
-            columns["n"] = [seen[k] for k in keys]
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in columns.items()})
-
-        part = map_arrow(samples.select("token", "label"), count, "label long, a long, b long, n long", 4096)
-        for row in part.groupBy("label", "a", "b").agg(F.sum("n").alias("n")).collect():
+    if counted is not None:
+        for row in counted.groupBy("label", "a", "b").agg(F.sum("n").alias("n")).collect():
             counts[row.label, row.a, row.b] += row.n
     return MarkovPair.fit(counts)
 
@@ -264,8 +270,8 @@ def redact(
 
 
 def corpus_model(docs: DataFrame) -> MarkovPair:
-    """Both models, trained from the corpus's samples and the drawn ones."""
-    return train(joined_identifiers(corpus_samples(docs)), drawn_samples())
+    """Both models, trained from all documents and the drawn samples."""
+    return train(corpus_counts(docs), drawn_samples())
 
 
 def secrets(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -1,0 +1,19 @@
+"""The whole job: cases that were cut off before."""
+
+from larkspur.llm import secrets
+
+
+def docs_of(spark, *texts):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+def test_secrets_models_learn_from_all_documents(spark):
+    plain = ["the house stood on the hill and the rain fell on it all day"] * 300
+    own = "zqxjkvqzwxjqkzvxqjzkwq"
+    docs = docs_of(spark, *plain, *[f"{own[i % 5:]} {own}" for i in range(300)])
+    assert secrets.corpus_model(docs).score(own) < secrets.THRESHOLD
+    late = {(r.label, r.a, r.b) for r in secrets.corpus_counts(docs).collect()}
+    assert (0, secrets.CODE["z"], secrets.CODE["q"]) in late
+    few = secrets.corpus_counts(docs.limit(1)).filter("label = 0").agg({"n": "sum"}).first()[0]
+    tokens = [t for w in plain[0].split() if len(w) > 3 for t in secrets.joined_identifiers(w)]
+    assert few == sum(len(t) - 1 for t in tokens)
