@@ -3,7 +3,8 @@
 Base patterns find assignments to telling names, access keys and long hexadecimal runs. Further
 runs of key characters are compared under two order-1 Markov models over characters, one trained
 on random strings and one on ordinary identifiers: a run whose mean log-likelihood ratio per
-transition exceeds a threshold is reported as kind ``markov``. Such runs never overlap base spans.
+transition exceeds a threshold is reported as kind ``markov``. Of a run that holds base spans, the
+pieces before, between and after them are judged, so such spans never overlap base spans.
 
 The models are trained from labelled samples: tokens with a label 1 (random) or 0 (ordinary).
 ``corpus_counts`` takes them from all documents: values of base matches are random, the other
@@ -209,14 +210,18 @@ def all_spans(text: str, model: MarkovPair, threshold: float) -> list[tuple[int,
     reach = 0
     for run in RUN.finditer(text):
         start, end = run.span()
+        pieces, at = [], max(start, reach)
         while k < n and spans[k][0] < end:
+            pieces.append((at, spans[k][0]))
             reach = max(reach, spans[k][2])
+            at = max(at, reach)
             k += 1
-        if reach > start:
-            continue
-        token = run[0]
-        if not token.isdigit() and len(set(token)) >= MIN_DISTINCT and model.score(token) >= threshold:
-            more.append((start, 3, end))
+        for start, stop in (*pieces, (at, end)):
+            token = text[start:stop]
+            if len(token) < MIN_RUN or token.isdigit() or len(set(token)) < MIN_DISTINCT:
+                continue
+            if model.score(token) >= threshold:
+                more.append((start, 3, stop))
     return sorted(spans + more) if more else spans
 
 
