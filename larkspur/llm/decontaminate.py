@@ -6,7 +6,8 @@ by typed placeholders, token for token, so a template and its raw tokens have th
 Windows of ``WINDOW`` template tokens are hashed and joined with those of the benchmark; items
 shorter than a window are a single window of their own length. A match is placed by its shift
 (document position minus item position), and an item is a candidate where the windows matched at
-one shift are at least ``MIN_SHARE`` of the item's.
+one shift are at least ``MIN_SHARE`` of the item's, or where those matched in the same order at
+neighbouring shifts are: inserted, dropped and exchanged words move what follows.
 
 Slots are then compared over the matched windows: a match is consistent if every value of the
 item stands for one value of the document. So a question whose numbers and names were exchanged
@@ -88,7 +89,8 @@ def contaminated(
     broadcast_windows: int = BROADCAST_WINDOWS,
 ) -> DataFrame:
     """``doc_id, item_id, shift, n_windows, n_matched, n_slots, n_changed, kind``: a row for each
-    document and benchmark item that the document holds, at the shift with most matches."""
+    document and benchmark item that the document holds, at the place with most matches; ``shift``
+    is that of its first matched window."""
     items = templates(benchmark, "item_id").filter(F.size("tokens") > 0)
     items = items.select(
         "id", "tokens", F.least(F.size("tokens"), F.lit(window)).alias("size")
@@ -130,13 +132,69 @@ def contaminated(
     matches = windows.join(side, ["size", "hash"]).select(
         "doc_id", "item_id", "n_windows", "size", (F.col("doc_at") - F.col("item_at")).alias("shift"), "item_at"
     )
-    placed = (
-        matches.groupBy("doc_id", "item_id", "shift", "n_windows", "size")
-        .agg(F.countDistinct("item_at").cast("long").alias("n_matched"), F.sort_array(F.collect_set("item_at")).alias("at"))
+    return _consistent(docs, benchmark, stored(_candidates(matches, min_share), "candidates"))
+
+
+def _chain(pairs: Column) -> Column:
+    """The longest chain of ``item_at, shift`` that ascends in the item and in the document: one of
+    each length, that with the least end, is kept while the pairs are read in document order."""
+    ordered = F.array_sort(
+        F.transform(pairs, lambda p: F.struct((p["item_at"] + p["shift"]).alias("doc_at"), (-p["item_at"]).alias("back"), p["shift"].alias("shift")))
+    )
+    link = lambda p: F.struct((-p["back"]).alias("item_at"), p["shift"].alias("shift"))
+    kind = "array<array<struct<item_at:int,shift:int>>>"
+
+    def step(chains: Column, p: Column) -> Column:
+        below = F.size(F.filter(chains, lambda c: F.element_at(c, -1)["item_at"] < -p["back"]))
+        longer = F.concat(F.coalesce(F.get(chains, below - 1), F.array().cast(kind[6:-1])), F.array(link(p)))
+        rest = F.slice(chains, below + 2, F.greatest(F.size(chains) - below - 1, F.lit(0)))
+        return F.concat(F.slice(chains, F.lit(1), below), F.array(longer), rest)
+
+    return F.aggregate(ordered, F.array().cast(kind), step, lambda chains: F.element_at(chains, -1))
+
+
+def _passages(pairs: Column, gap: Column) -> Column:
+    """``pairs`` in groups whose shifts, in order, differ by ``gap`` at most from one to the next."""
+    kind = "array<array<struct<shift:int,item_at:int>>>"
+
+    def step(groups: Column, p: Column) -> Column:
+        last = F.element_at(groups, -1)
+        near = (F.size(groups) > 0) & (p["shift"] - F.element_at(last, -1)["shift"] <= gap)
+        grown = F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(F.concat(last, F.array(p))))
+        return F.when(near, grown).otherwise(F.concat(groups, F.array(F.array(p))))
+
+    return F.aggregate(F.array_sort(pairs), F.array().cast(kind), step)
+
+
+def _candidates(matches: DataFrame, min_share: float) -> DataFrame:
+    """``doc_id, item_id, n_windows, size, n_matched, at``: the matched windows ``item_at, shift``
+    of each place of an item, at one shift or as a chain over neighbouring shifts."""
+    by = ["doc_id", "item_id", "n_windows", "size"]
+    together = (
+        matches.groupBy(*by)
+        .agg(F.collect_set(F.struct("shift", "item_at")).alias("pairs"))
+        .filter(F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_at"]))) >= min_share * F.col("n_windows"))
+    )
+    # Copies of an item lie at least its length apart, so half of that tells them from each other.
+    gap = F.greatest(F.col("size"), F.floor((F.col("n_windows") + F.col("size") - 1) / 2).cast("int"))
+    shifted = F.array_distinct(F.transform("pairs", lambda p: p["shift"]))
+    alone = together.select(*by, F.explode(shifted).alias("one"), "pairs").select(
+        *by, F.array_sort(F.transform(
+            F.filter("pairs", lambda p: p["shift"] == F.col("one")),
+            lambda p: F.struct(p["item_at"].alias("item_at"), p["shift"].alias("shift")),
+        )).alias("at"),
+    )
+    chained = (
+        together.filter(F.size(shifted) > 1)
+        .select(*by, F.explode(_passages(F.col("pairs"), gap)).alias("near"))
+        .filter(F.element_at("near", 1)["shift"] < F.element_at("near", -1)["shift"])
+        .select(*by, _chain(F.col("near")).alias("at"))
+    )
+    return (
+        alone.unionByName(chained)
+        .withColumn("n_matched", F.size("at").cast("long"))
         .filter(F.col("n_matched") >= min_share * F.col("n_windows"))
     )
-    candidates = stored(placed, "candidates")
-    return _consistent(docs, benchmark, candidates)
 
 
 def _consistent(docs: DataFrame, benchmark: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -154,21 +212,32 @@ def _consistent(docs: DataFrame, benchmark: DataFrame, candidates: DataFrame) ->
     both = candidates.join(
         raw_and_template(benchmark.select("item_id", "text"), "item_id", candidates), "item_id"
     ).join(raw_and_template(docs.select("doc_id", "text"), "doc_id", candidates), "doc_id")
-    covered = F.array_distinct(
-        F.flatten(F.transform("at", lambda a: F.sequence(a, a + F.col("size") - 1)))
+    # Each place of the item that a window covers, by the shift of the first such window.
+    covered = F.flatten(
+        F.transform(
+            "at",
+            lambda w, i: F.transform(
+                F.sequence(
+                    F.greatest(w["item_at"], F.coalesce(F.get("at", i - 1)["item_at"] + F.col("size"), F.lit(0))),
+                    w["item_at"] + F.col("size") - 1,
+                ),
+                lambda k: F.struct(k.alias("k"), w["shift"].alias("shift")),
+            ),
+        )
     )
     slots = F.filter(
         covered,
-        lambda k: F.get("item_id_template", k).isin(NUMBER, UNIT, NAME),
+        lambda c: F.get("item_id_template", c["k"]).isin(NUMBER, UNIT, NAME),
     )
     pairs = F.transform(
         slots,
-        lambda k: F.struct(
-            F.get("item_id_raw", k).alias("item"),
-            F.get("doc_id_raw", k + F.col("shift")).alias("doc"),
+        lambda c: F.struct(
+            F.get("item_id_raw", c["k"]).alias("item"),
+            F.get("doc_id_raw", c["k"] + c["shift"]).alias("doc"),
         ),
     )
-    seen = both.select("doc_id", "item_id", "shift", "n_windows", "n_matched", F.array_distinct(pairs).alias("pairs"))
+    shift = F.get("at", F.lit(0))["shift"].alias("shift")
+    seen = both.select("doc_id", "item_id", shift, "n_windows", "n_matched", F.array_distinct(pairs).alias("pairs"))
     judged = seen.select(
         "doc_id",
         "item_id",

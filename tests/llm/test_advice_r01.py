@@ -1,6 +1,6 @@
 """The whole job: cases that were cut off before."""
 
-from larkspur.llm import secrets
+from larkspur.llm import decontaminate, secrets
 
 
 def docs_of(spark, *texts):
@@ -28,3 +28,29 @@ def test_secrets_beside_base_spans_are_judged():
     assert markov(f"{key}-{digits}_{key}") == [f"{key}-", f"_{key}"]
     assert markov(f"x {digits}/abc {key}") == [key]
     assert markov(f"password={key} {digits}") == []
+
+
+ITEM = (
+    "a farmer in the valley keeps several brown horses behind his wooden barn and every morning he carries "
+    "fresh hay to them before the sun comes up over the distant hills so that they are ready for work"
+)
+
+
+def leaks(spark, item, *texts):
+    items = spark.createDataFrame([(0, item)], "item_id long, text string")
+    found = decontaminate.contaminated(docs_of(spark, *texts), items).collect()
+    return {r.doc_id: r for r in found}
+
+
+def test_matches_at_neighbouring_shifts_add_up(spark):
+    words = ITEM.split()
+    n = len(words)
+    twice = [*words[:12], "old", *words[12:24], "grey", "and", *words[24:]]
+    dropped = [*words[:18], *words[19:]]
+    backwards = [*words[24:], *words[12:24], *words[:12]]
+    other = "some other words that nobody would ever put into any question about animals at all"
+    got = leaks(spark, ITEM, *(f"{other} {' '.join(w)} {other}" for w in (twice, dropped, backwards, words)))
+    assert got.keys() == {0, 1, 3}
+    assert got[0].n_matched == n - 7 - 14 and got[1].n_matched == n - 7 - 8
+    assert got[3].n_matched == n - 7
+    assert leaks(spark, ITEM, f"{' '.join(words[:16])} {other} {' '.join(words[:16])}") == {}
