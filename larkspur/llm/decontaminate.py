@@ -1,8 +1,11 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 Texts become sequences of tokens: letters, digits and underscores, lower-cased. In the template of
-a text, numbers, units after numbers and names (capitalised words inside a sentence) are replaced
-by typed placeholders, token for token, so a template and its raw tokens have the same positions.
+a text, numbers (also as words, or with letters glued to them), units after numbers and names are
+replaced by typed placeholders, neighbours of a kind by one. There are two templates: in one, names
+are capitalised words inside a sentence; in the other, all capitalised words, so names that begin a
+sentence or follow a quote are slots as well. A document holds an item if either tells so. A
+template and its raw tokens come from one marked text, so they have the same positions.
 Windows of ``WINDOW`` template tokens are hashed and joined with those of the benchmark; items
 shorter than a window are a single window of their own length. A match is placed by its shift
 (document position minus item position), and an item is a candidate where the windows matched at
@@ -33,44 +36,87 @@ MIN_SHARE = 0.5
 #: Windows of the benchmark, 16 bytes each in a hash table, that are broadcast at most.
 BROADCAST_WINDOWS = 500_000
 
-NUMBER, UNIT, NAME = "_n", "_u", "_p"
+#: Placeholders; in marked texts they stand before the words that they replace. LEADING marks
+#: capitalised words that begin a sentence or a line or follow other signs, names or not.
+NAME, NUMBER, UNIT, LEADING = "\ue001", "\ue002", "\ue003", "\ue004"
+MARKS = NAME + NUMBER + UNIT + LEADING
+#: Words that count as numbers.
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen "
+    "sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety "
+    "hundred thousand million billion"
+).split()
 #: Units of measure and money that count as units after a number.
 UNITS = (
     "km m cm mm mi ft in kg g mg lb oz t l ml s sec ms min h hr hours hour minutes minute seconds "
-    "second days day weeks week months month years year km/h mph kmh usd eur dollars dollar euros "
+    "second days day weeks week months month years year km_h mph kmh usd eur dollars dollar euros "
     "euro cents cent percent degrees degree watts watt volts volt kw kwh mb gb kb tb"
 ).split()
 
 
+#: What ends a word, and what begins one.
+_END, _BEGIN = r"(?![\p{L}\p{N}_])", r"(?<![\p{L}\p{N}_])"
+
+
 def _tokens(text: Column) -> Column:
-    """Lower-cased runs of letters, digits and underscores."""
-    spaced = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " ")
+    """Lower-cased runs of letters, digits, underscores and marks."""
+    spaced = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}_{MARKS}]+", " ")
     return F.filter(F.split(F.trim(spaced), " "), lambda x: x != "")
 
 
-def _joined_numbers(text: Column) -> Column:
-    """Numbers with points, commas, colons or slashes inside as single tokens."""
+def _longest(words: list[str]) -> str:
+    return "|".join(sorted(words, key=lambda w: (-len(w), w)))
+
+
+def _marked(text: Column) -> Column:
+    """``text`` with a mark before each slot. Numbers with points, commas, colons or slashes inside
+    and km/h become single words, and a number is parted from the letters that follow it."""
     digits = text.rlike("[0-9]")
-    return F.when(digits, F.regexp_replace(text, r"(?<=[0-9])[.,:/](?=[0-9])", "_")).otherwise(text)
+    joined = F.regexp_replace(text, r"(?<=[0-9])[.,:/](?=[0-9])", "_")
+    parted = F.when(digits, F.regexp_replace(joined, rf"{_BEGIN}([0-9][0-9_]*+)(?=\p{{L}})", "$1 ")).otherwise(text)
+    speed = F.regexp_replace(parted, rf"(?i)(?<=km)/(?=h{_END})", "_")
+    number = rf"{_BEGIN}(?=[0-9][0-9_]*+{_END}|(?i:{_longest(NUMBER_WORDS)}){_END})"
+    numbered = F.regexp_replace(speed, number, NUMBER)
+    units = rf"({NUMBER}[\p{{L}}0-9_]+ )(?=(?i:{_longest(UNITS)})(?![\p{{L}}\p{{N}}_/]))"
+    united = F.regexp_replace(numbered, units, f"$1{UNIT}")
+    capital = F.regexp_replace(united, rf"(?<![\p{{L}}\p{{N}}_{NUMBER}{UNIT}])(?=\p{{Lu}})", LEADING)
+    return F.regexp_replace(capital, rf"{LEADING}(?<=[\p{{Ll}}\p{{Nd}},;] {LEADING})", NAME)
+
+
+def _one_each(marked: Column, mark: str) -> Column:
+    """Neighbouring slots of a kind joined to one, so that the number of their words is free."""
+    between = r"[\s'’-]{1,2}"
+    return F.regexp_replace(marked, rf"{between}{mark}(?<={mark}[\p{{L}}0-9_]{{1,30}}{between}{mark})", "_")
+
+
+def _levels(marked: Column) -> list[Column]:
+    """The marked text for each template: names inside sentences, and all capitalised words."""
+    numbers = _one_each(marked, NUMBER)
+    return [
+        _one_each(F.translate(numbers, LEADING, ""), NAME),
+        _one_each(F.translate(numbers, LEADING, NAME), NAME),
+    ]
 
 
-def _template(text: Column) -> Column:
-    """``text``, after ``_joined_numbers``, with placeholders."""
-    named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{Nd},;] )\p{Lu}\p{L}*", NAME)
-    digits = named.rlike("[0-9]")
-    number = r"(?<![\p{L}\p{N}_])[0-9][0-9_]*(?![\p{L}\p{N}_])"
-    units = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
-    numbered = F.regexp_replace(named, number, NUMBER)
-    united = F.regexp_replace(numbered, rf"(?i)(?<={NUMBER} )(?:{units})(?![\p{{L}}\p{{N}}_/])", UNIT)
-    return F.when(digits, united).otherwise(named)
+def _template_tokens(level: Column) -> Column:
+    return _tokens(F.regexp_replace(level, rf"([{MARKS}])[\p{{L}}\p{{N}}_]+", "$1"))
+
+
+def _raw_tokens(level: Column) -> Column:
+    """The words at the places of the template's tokens."""
+    return _tokens(F.translate(level, MARKS, ""))
+
+
+def _by_level(rows: DataFrame, *keys: str) -> DataFrame:
+    """``keys, level, marked``: the marked texts of each row."""
+    marked = rows.select(*keys, _marked(F.coalesce("text", F.lit(""))).alias("all"))
+    return marked.select(*keys, F.posexplode(F.array(*_levels(F.col("all")))).alias("level", "marked"))
 
 
 def templates(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """``id, tokens``: the template tokens of each row that has any."""
-    rows = texts.select(
-        F.col(id_col).alias("id"), _joined_numbers(F.coalesce(text_col, F.lit(""))).alias("text")
-    )
-    return rows.select("id", _tokens(_template(F.col("text"))).alias("tokens"))
+    """``id, level, tokens``: the template tokens of each row, for both templates."""
+    rows = _by_level(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
+    return rows.select("id", "level", _template_tokens(F.col("marked")).alias("tokens"))
 
 
 def _window_hashes(tokens: Column, size: int) -> Column:
@@ -93,13 +139,19 @@ def contaminated(
     is that of its first matched window."""
     items = templates(benchmark, "item_id").filter(F.size("tokens") > 0)
     items = items.select(
-        "id", "tokens", F.least(F.size("tokens"), F.lit(window)).alias("size")
+        "id", "level", "tokens", F.least(F.size("tokens"), F.lit(window)).alias("size")
+    )
+    # With every capitalised word a slot, items need a full window and as many words as slots.
+    literal = F.filter("tokens", lambda t: ~t.isin(NUMBER, UNIT, NAME))
+    items = items.filter(
+        (F.col("level") == 0) | ((F.col("size") == window) & (2 * F.size(literal) >= F.size("tokens")))
     )
     # At most `window` sizes, whatever the benchmark's size.
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())
     by_size = [
         items.filter(F.col("size") == n).select(
             F.lit(n).alias("size"),
+            "level",
             F.col("id").alias("item_id"),
             (F.size("tokens") - n + 1).alias("n_windows"),
             F.posexplode(_window_hashes(F.col("tokens"), n)).alias("item_at", "hash"),
@@ -108,7 +160,7 @@ def contaminated(
     ]
     spark = docs.sparkSession
     if not by_size:
-        index = spark.createDataFrame([], "size int, item_id long, n_windows int, item_at int, hash long")
+        index = spark.createDataFrame([], "size int, level int, item_id long, n_windows int, item_at int, hash long")
     else:
         index = by_size[0]
         for more in by_size[1:]:
@@ -119,8 +171,9 @@ def contaminated(
 
     tokens = templates(docs, "doc_id").filter(F.size("tokens") > 0)
     hashed = [
-        tokens.filter(F.size("tokens") >= n).select(
+        tokens.filter((F.size("tokens") >= n) & (F.lit(n == window) | (F.col("level") == 0))).select(
             F.col("id").alias("doc_id"),
+            "level",
             F.lit(n).alias("size"),
             F.posexplode(_window_hashes(F.col("tokens"), n)).alias("doc_at", "hash"),
         )
@@ -129,8 +182,8 @@ def contaminated(
     windows = hashed[0]
     for more in hashed[1:]:
         windows = windows.unionByName(more)
-    matches = windows.join(side, ["size", "hash"]).select(
-        "doc_id", "item_id", "n_windows", "size", (F.col("doc_at") - F.col("item_at")).alias("shift"), "item_at"
+    matches = windows.join(side, ["size", "level", "hash"]).select(
+        "doc_id", "item_id", "level", "n_windows", "size", (F.col("doc_at") - F.col("item_at")).alias("shift"), "item_at"
     )
     return _consistent(docs, benchmark, stored(_candidates(matches, min_share), "candidates"))
 
@@ -167,9 +220,9 @@ def _passages(pairs: Column, gap: Column) -> Column:
 
 
 def _candidates(matches: DataFrame, min_share: float) -> DataFrame:
-    """``doc_id, item_id, n_windows, size, n_matched, at``: the matched windows ``item_at, shift``
+    """``doc_id, item_id, level, n_windows, size, n_matched, at``: the matched windows ``item_at, shift``
     of each place of an item, at one shift or as a chain over neighbouring shifts."""
-    by = ["doc_id", "item_id", "n_windows", "size"]
+    by = ["doc_id", "item_id", "level", "n_windows", "size"]
     together = (
         matches.groupBy(*by)
         .agg(F.collect_set(F.struct("shift", "item_at")).alias("pairs"))
@@ -201,17 +254,17 @@ def _consistent(docs: DataFrame, benchmark: DataFrame, candidates: DataFrame) ->
     """The candidates whose slots are consistent, best shift first."""
 
     def raw_and_template(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-        own = rows.join(wanted.select(key).distinct(), key, "left_semi")
-        text = _joined_numbers(F.coalesce("text", F.lit("")))
+        own = _by_level(rows.join(wanted.select(key).distinct(), key, "left_semi"), key)
         return own.select(
             key,
-            _tokens(text).alias(f"{key}_raw"),
-            _tokens(_template(text)).alias(f"{key}_template"),
+            "level",
+            _raw_tokens(F.col("marked")).alias(f"{key}_raw"),
+            _template_tokens(F.col("marked")).alias(f"{key}_template"),
         )
 
     both = candidates.join(
-        raw_and_template(benchmark.select("item_id", "text"), "item_id", candidates), "item_id"
-    ).join(raw_and_template(docs.select("doc_id", "text"), "doc_id", candidates), "doc_id")
+        raw_and_template(benchmark.select("item_id", "text"), "item_id", candidates), ["item_id", "level"]
+    ).join(raw_and_template(docs.select("doc_id", "text"), "doc_id", candidates), ["doc_id", "level"])
     # Each place of the item that a window covers, by the shift of the first such window.
     covered = F.flatten(
         F.transform(
@@ -237,10 +290,11 @@ def _consistent(docs: DataFrame, benchmark: DataFrame, candidates: DataFrame) ->
         ),
     )
     shift = F.get("at", F.lit(0))["shift"].alias("shift")
-    seen = both.select("doc_id", "item_id", shift, "n_windows", "n_matched", F.array_distinct(pairs).alias("pairs"))
+    seen = both.select("doc_id", "item_id", "level", shift, "n_windows", "n_matched", F.array_distinct(pairs).alias("pairs"))
     judged = seen.select(
         "doc_id",
         "item_id",
+        "level",
         "shift",
         F.col("n_windows").cast("long").alias("n_windows"),
         "n_matched",
@@ -251,7 +305,7 @@ def _consistent(docs: DataFrame, benchmark: DataFrame, candidates: DataFrame) ->
     best = judged.filter("one_to_one").groupBy("doc_id", "item_id").agg(
         F.max_by(
             F.struct("shift", "n_windows", "n_matched", "n_slots", "n_changed"),
-            F.struct("n_matched", -F.col("n_changed"), -F.col("shift")),
+            F.struct("n_matched", -F.col("n_changed"), -F.col("shift"), -F.col("level")),
         ).alias("best")
     )
     return best.select(

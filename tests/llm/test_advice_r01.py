@@ -54,3 +54,25 @@ def test_matches_at_neighbouring_shifts_add_up(spark):
     assert got[0].n_matched == n - 7 - 14 and got[1].n_matched == n - 7 - 8
     assert got[3].n_matched == n - 7
     assert leaks(spark, ITEM, f"{' '.join(words[:16])} {other} {' '.join(words[:16])}") == {}
+
+
+def test_slots_of_all_forms(spark):
+    item = (
+        "Natalia sold clips to many of her friends. Natalia then sold 5km of red ribbon, and \"Peter\" "
+        "paid $7k for three boxes at 60 km/h. Natalia solves 3x + 2 in the evening"
+    )
+    changed = item.replace("Natalia", "Mary Ann").replace("Peter", "John").replace("5km", "8km")
+    changed = changed.replace("$7k", "$9k").replace("three", "seven").replace("60", "75").replace("3x + 2", "4x + 1")
+    wrong = changed.replace("Mary Ann then", "Weng then")
+    got = leaks(spark, item, f"well. {changed} end", "well, " + item, item.lower(), wrong)
+    assert {k: r.kind for k, r in got.items() if k < 2} == {0: "changed", 1: "exact"}
+    assert got[0].n_matched == got[0].n_windows and 3 not in got
+
+
+def test_raw_tokens_stay_at_the_template_s_places(spark):
+    docs = docs_of(spark, "It went 60 km/h for 5km with Mary Ann Lee, then 3.5 kg")
+    rows = decontaminate._by_level(docs, "doc_id")
+    both = rows.select(decontaminate._raw_tokens(rows.marked).alias("raw"), decontaminate._template_tokens(rows.marked).alias("t"))
+    first = both.first()
+    assert first.raw == ["it", "went", "60", "km_h", "for", "5", "km", "with", "mary_ann_lee", "then", "3_5", "kg"]
+    assert len(first.t) == len(first.raw) and first.t[3] == decontaminate.UNIT and first.t[8] == decontaminate.NAME
