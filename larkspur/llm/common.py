@@ -5,19 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.runtime import ship, stored
 
-__all__ = ["BATCH_ROWS", "WORD_SEPARATORS", "map_arrow", "stored", "table", "text_bytes"]
+__all__ = ["BATCH_ROWS", "HELPER", "WORD_SEPARATORS", "map_arrow", "stored", "table", "text_bytes", "text_hash"]
 
-#: Rows that one Arrow batch carries to a Python worker. Texts may be long, so batches are short;
-#: a worker then holds a few MB of text at a time, however many rows its partition has.
+#: Rows that a function gets at a time. Texts may be long, so that is few: what a function makes of
+#: them stays small, however large the batches are that Spark sends (64 MB at most by default).
 BATCH_ROWS = 256
 
 #: Separators of words, as a character class body: space, and tab to carriage return.
 WORD_SEPARATORS = r"\x20\x09-\x0D"
 
+#: Begins the names of columns that operators add for a while; no table's own column does.
+HELPER = "_larkspur_helper"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,10 +33,18 @@ def map_arrow(
     schema: str,
     batch_rows: int = BATCH_ROWS,
 ) -> DataFrame:
-    """``mapInArrow`` in short batches, by functions of this package."""
+    """``mapInArrow`` by functions of this package, which get at most ``batch_rows`` rows at a time.
+
+    Batches are cut where they arrive; the session's settings, which belong to its user, stay.
+    """
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
-    return df.mapInArrow(fn, schema)
+
+    def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_rows):
+                yield batch.slice(at, batch_rows)
+
+    return df.mapInArrow(lambda batches: fn(in_slices(batches)), schema)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -40,3 +52,8 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
+
+
+def text_hash(column: str = "text") -> Column:
+    """A long that tells a document's texts apart; null counts as the empty text."""
+    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))

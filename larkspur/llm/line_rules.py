@@ -194,7 +194,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
     """The query's rows."""
     return judge(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "n_common_lines", "n_common_words", "kept",
+        "base_failed", "kept", "n_common_lines", "n_common_words",
     )
 
 

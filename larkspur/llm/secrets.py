@@ -287,7 +287,7 @@ def secrets(spark: SparkSession, docs: DataFrame) -> DataFrame:
         "n_assign",
         "n_access",
         "n_hex",
-        "n_markov",
         F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"),
         "spans",
+        "n_markov",
     )

@@ -6,11 +6,13 @@ the 64-bit fingerprint is 1 if it is set in over half of the shingles' XXH64 val
 are computed for a whole batch of texts at once, over unaligned 8-byte reads of one buffer.
 
 **Links.** Fingerprints that differ in at most 4 bits differ in at most 4 of their 8 bytes, so they
-share at least 4 bytes in the same positions: the guaranteed minimum. The inverted index is keyed
-by four positions and the bytes there, so exactly the pairs whose tally reaches the minimum meet
-in a posting list; 32 fixed bits keep lists short at any input size, where lists by a single byte
-would hold 1/256 of all fingerprints each. Every distinct fingerprint has 70 postings. Within a
-list the differing bits are counted, and only a spanning forest of the links leaves the task.
+share at least 4 bytes in the same positions: the guaranteed minimum. Posting lists are keyed by
+four positions and the bytes there: 32 fixed bits keep lists short at any input size, where lists
+by a single byte would hold 1/256 of all fingerprints each, and every pair that reaches the minimum
+meets in a list. Every distinct fingerprint has 70 postings, made and ordered by built-in functions;
+lists of a single fingerprint end there. Within a list the equal bytes of each pair are tallied,
+pairs that reach the minimum are verified by their differing bits, and only a spanning forest of
+the links leaves the task.
 
 **Dense lists.** A list of over ``LIST_LIMIT`` fingerprints (one passage with endless variations)
 isn't compared pair by pair. Its members are linked by midpoints: two fingerprints differ in at
@@ -19,11 +21,12 @@ within 2 bits, and all who meet at a value are truly linked. That is exact and l
 
 **Components.** Labels spread along the links with pointer jumping; each round is written to the
 shared folder. Only distinct fingerprints and links take part; copies join at the end by their
-fingerprint. No fingerprint, link or component reaches the driver, only counts do.
+fingerprint, the most frequent ones by broadcast. No fingerprint, link or component reaches the driver, only counts do.
 
 Null and empty texts, and texts without words, have fingerprint zero and link like any other.
 Rows with a repeated doc_id are separate members; rows with a null doc_id are fingerprinted, and
-count as members, but can't name a component: it is null if no member has an id.
+count as members, but can't name a component: it is null if no member has an id. Further columns
+have no effect; ``keep_first`` carries them along. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,10 +36,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored, text_bytes
+from .common import HELPER, map_arrow, stored, text_bytes, text_hash
 
 SHINGLE = 4
 SEED = 42
@@ -145,61 +148,61 @@ def _simhash_block(block: list[tuple[int, bytes]], out: np.ndarray, shingle: int
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp``: a row for each document; ``fp`` has the fingerprint's bits as a long."""
+    """``doc_id, text_hash, fp``: a row for each document; ``fp`` has the fingerprint's bits as a
+    long, and ``text_hash`` tells texts of one doc_id from each other."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def compute(batches):
         for batch in batches:
-            fp = simhash(text_bytes(batch.column(1))).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(fp)})
+            fp = simhash(text_bytes(batch.column(2))).view(np.int64)
+            yield pa.RecordBatch.from_pydict(
+                {"doc_id": batch.column(0), "text_hash": batch.column(1), "fp": pa.array(fp)}
+            )
 
-    return map_arrow(docs.select("doc_id", "text"), compute, f"doc_id {id_type}, fp long")
+    rows = docs.select("doc_id", text_hash().alias("text_hash"), "text")
+    return map_arrow(rows, compute, f"doc_id {id_type}, text_hash long, fp long")
 
 
 _BYTES = np.array([0xFF << (8 * k) for k in range(8)], np.uint64)
-#: For each choice of 4 byte positions, the mask of those bytes.
-QUADS = [np.bitwise_or.reduce(_BYTES[list(c)]) for c in combinations(range(8), 8 - MAX_BITS)]
+#: Bytes that fingerprints within ``MAX_BITS`` share at least, in the same positions.
+SHARED = 8 - MAX_BITS
+#: For each choice of so many byte positions, the mask of those bytes, as a long.
+QUADS = [int(np.bitwise_or.reduce(_BYTES[list(c)]).view(np.int64)) for c in combinations(range(8), SHARED)]
 
 
 def postings(distinct: DataFrame) -> DataFrame:
     """``quad, bytes, fp``: what the inverted index holds of each distinct fingerprint."""
-
-    def post(batches):
-        for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False)
-            bits = fp.view(np.uint64)
-            n = len(fp)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "quad": pa.array(np.repeat(np.arange(len(QUADS), dtype=np.int16), n)),
-                    "bytes": pa.array(np.concatenate([bits & m for m in QUADS]).view(np.int64)),
-                    "fp": pa.array(np.tile(fp, len(QUADS))),
-                }
-            )
-
-    return map_arrow(distinct.select("fp"), post, "quad short, bytes long, fp long", 4096)
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = F.array(*(F.col("fp").bitwiseAND(F.lit(mask)) for mask in QUADS))
+    return distinct.select("fp").repartition(n, "fp").select(F.posexplode(keys).alias("quad", "bytes"), "fp")
 
 
-def spanning_links(fps: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """Links that connect whatever links of at most ``max_bits`` connect among ``fps``."""
-    n, bits = len(fps), fps.view(np.uint64)
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for k in range(n - 1):
-        near = np.flatnonzero(np.bitwise_count(bits[k + 1 :] ^ bits[k]) <= max_bits)
-        for j in (near + k + 1).tolist():
-            a, b = find(k), find(j)
-            if a != b:
-                root[b] = a
-                out.append((int(fps[k]), int(fps[j])))
-    return out
+def shared_lists(index: DataFrame) -> DataFrame:
+    """The postings of lists with two fingerprints or more, list by list in each partition."""
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = Window.partitionBy("quad", "bytes").orderBy("fp")
+    near = index.repartition(n, "quad", "bytes").select(
+        "quad", "bytes", "fp", F.lag("fp").over(own).alias("before"), F.lead("fp").over(own).alias("after")
+    )
+    kept = near.filter("before is not null or after is not null")
+    return kept.select("quad", "bytes", "fp").sortWithinPartitions("quad", "bytes", "fp")
+
+
+def spanning_links(fps: np.ndarray, max_bits: int = MAX_BITS) -> tuple[list[tuple[int, int]], int]:
+    """Links that connect whatever links of at most ``max_bits`` connect among ``fps``, and how
+    many pairs were verified: those whose tally of equal bytes reaches the guaranteed minimum."""
+    bits, root = fps.view(np.uint64), np.arange(len(fps))
+    out, verified = [], 0
+    for k in range(len(fps) - 1):
+        differ = bits[k + 1 :] ^ bits[k]
+        tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+        near = np.flatnonzero(tally >= 8 - max_bits)
+        verified += len(near)
+        near = near[np.bitwise_count(differ[near]) <= max_bits] + k + 1
+        while len(near := near[root[near] != root[k]]):
+            out.append((int(fps[k]), int(fps[near[0]])))
+            root[root == root[near[0]]] = root[k]
+    return out, verified
 
 
 def list_links(index: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
@@ -215,7 +218,7 @@ def list_links(index: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
 
         def close() -> None:
             if not dense and len(held) > 1:
-                for a, b in spanning_links(np.array(held, np.int64)):
+                for a, b in spanning_links(np.array(held, np.int64))[0]:
                     left.append(a)
                     right.append(b)
 
@@ -247,10 +250,7 @@ def list_links(index: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
         close()
         yield flush()
 
-    spark = index.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    in_order = index.repartition(n, "quad", "bytes").sortWithinPartitions("quad", "bytes")
-    return map_arrow(in_order, link, "a long, b long", 8192)
+    return map_arrow(shared_lists(index), link, "a long, b long", 8192)
 
 
 _ONE = [1 << k for k in range(64)]
@@ -264,14 +264,14 @@ def midpoint_links(dense: DataFrame) -> DataFrame:
     def post(batches):
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
-            for i in range(0, len(fp), 64):
+            for i in range(0, len(fp), 64):  # 133,184 rows at most
                 part = fp[i : i + 64]
                 middle = (part.view(np.uint64)[:, None] ^ MIDPOINTS).reshape(-1).view(np.int64)
                 yield pa.RecordBatch.from_pydict(
                     {"middle": pa.array(middle), "a": pa.array(np.repeat(part, len(MIDPOINTS)))}
                 )
 
-    posted = map_arrow(dense, post, "middle long, a long", 4096)
+    posted = map_arrow(dense, post, "middle long, a long")
     least = posted.groupBy("middle").agg(F.min("a").alias("b"), F.max("a").alias("top"))
     met = least.filter("b <> top").select("middle", "b")
     return posted.join(met, "middle").filter("a <> b").select("a", "b").distinct()
@@ -320,24 +320,50 @@ def links_of(distinct: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     return near.union(midpoint_links(dense))
 
 
-def near_duplicates(docs: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every row."""
+#: Fingerprints with over 1/HOT of all rows, of which there are at most HOT, are joined by broadcast.
+HOT = 1000
+
+
+def _members(docs: DataFrame, limit: int) -> DataFrame:
+    """``doc_id, text_hash, fp, component_id`` of every row."""
     rows = stored(fingerprints(docs), "fingerprints")
-    groups = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
+    groups = stored(
+        rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "groups"
+    )
     labels = components(links_of(groups, limit)).toDF("fp", "label")
     # From labels, which name fingerprints, to the least document of each component.
-    named = groups.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    heads = named.filter("label is not null").groupBy("label").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(heads, "label").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(
+    named = groups.join(labels, "fp", "left").select("fp", "least", "n", F.coalesce("label", "fp").alias("label"))
+    heads = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    by_fp = stored(named.join(heads, "label").select("fp", "n", "component_id"), "named")
+    total = by_fp.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") * HOT > F.lit(total)
+    hot = by_fp.filter(is_hot).select("fp", "component_id")
+    rest = by_fp.filter(~is_hot).select("fp", "component_id")
+    # No fingerprint that is joined by shuffle holds more than 1/HOT of the rows.
+    frequent = rows.join(F.broadcast(hot), "fp")
+    others = rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(rest, "fp")
+    return frequent.unionByName(others)
+
+
+def near_duplicates(docs: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of every row."""
+    return _members(docs, limit).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The same columns, one document of each component: its least doc_id. Rows with that doc_id
-    are one document: repeats go. Rows whose doc_id is null stay."""
-    found = near_duplicates(docs.filter("doc_id is not null"))
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+def keep_first(docs: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+    """The same columns, one row of each component: of the least doc_id, the text with the least
+    hash. Rows that repeat doc_id and text are one; if other columns differ, the row with the least
+    hash over all columns stays. Rows whose doc_id is null stay as they are."""
+    members = _members(docs.filter("doc_id is not null"), limit)
+    first = members.filter("doc_id = component_id").groupBy("doc_id", "component_id").agg(
+        F.min("text_hash").alias(HELPER)
+    )
+    first = first.select(F.col("doc_id").alias(HELPER + "_id"), HELPER).distinct()
+    named = docs.select(text_hash().alias(HELPER), F.struct("*").alias(HELPER + "_row"))
+    own = F.col(f"{HELPER}_row.doc_id")
+    kept = named.join(first.withColumnRenamed(HELPER, HELPER + "_first"), (own == F.col(HELPER + "_id")) & (F.col(HELPER) == F.col(HELPER + "_first")))
+    order = F.xxhash64(*(F.col(f"{HELPER}_row.`{f.name}`") for f in docs.schema if "map" not in f.dataType.simpleString()))
+    one = kept.groupBy(HELPER + "_id", HELPER + "_first").agg(F.min_by(HELPER + "_row", order).alias("row"))
+    return one.select("row.*").unionByName(docs.filter("doc_id is null")).select(docs.columns)

@@ -10,7 +10,7 @@ number of documents. The running sums are taken in two levels (blocks of lengths
 inside a block), so no single task orders all lengths.
 
 Null and empty texts have length 0. Repeated rows count each time. An empty table gives an empty
-histogram. Special-token strings in a text are ordinary text.
+histogram. Special-token strings in a text are ordinary text. Further columns have no effect.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, stored
 
 #: Lengths of one block of the two-level sums.
 BLOCK = 1024
@@ -69,7 +69,8 @@ def length_histogram(
         )
 
     part = map_arrow(docs.select(F.col(text_col).alias("text")), count, "n_tokens long, n_docs long")
-    return part.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    # Whoever asks the histogram several questions reads it, and doesn't encode again.
+    return stored(part.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "lengths")
 
 
 def suffix_sums(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
