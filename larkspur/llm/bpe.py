@@ -2,11 +2,12 @@
 
 The text is cut at special tokens, brought to NFC, lower-cased character by character and cut into
 pieces at the vocabulary's split pattern. A piece is looked up in a lexicon: a minimal acyclic
-transducer of the vocabulary's whole words (its most frequent words, each with its exact ids),
-which the driver compiles once, Spark distributes as a file, and every worker maps into memory.
-Pieces that the lexicon lacks are merged exactly, lowest rank first and leftmost among equals.
-Ids are packed as little-endian unsigned 32-bit integers. Decoding joins the ids' token strings by
-a space, as the vocabulary file, which names no decoder, asks for.
+transducer of the corpus's frequent pieces, counted over all texts, and the vocabulary's whole
+words, each with its exact ids. The driver compiles it once for a corpus (at most ``FREQUENT``
+pieces reach it), Spark distributes it as a file, and every worker maps it into memory. Pieces that
+the lexicon lacks are merged exactly, lowest rank first and leftmost among equals. Ids are packed
+as little-endian unsigned 32-bit integers. Decoding joins the ids' token strings by a space, as the
+vocabulary file, which names no decoder, asks for.
 
 The lexicon and the cache only save work; any lexicon gives the same ids. Null and empty texts
 have no ids and decode to the empty text. Rows are encoded one by one: repeated rows, ties and
@@ -23,6 +24,7 @@ import re
 import tempfile
 import unicodedata
 from array import array
+from collections import Counter
 from functools import lru_cache
 from hashlib import sha256
 
@@ -31,17 +33,20 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, stored
 from .lexicon import Lexicon, compile_lexicon
 
-#: Chunks that a worker remembers, in each of two generations.
-CACHE = 150_000
-#: Longer chunks are not remembered.
-CACHED_CHARS = 48
+#: Chunks, and characters of chunks, that a worker remembers in each of two generations.
+CACHE, CACHE_CHARS = 120_000, 4_000_000
+#: Pieces that the lexicon takes from a corpus: those with over 1/FREQUENT of all occurrences, of
+#: which there are at most FREQUENT.
+FREQUENT = 50_000
+#: Distinct chunks that a task counts before it passes its counts on.
+COUNTED = 100_000
 END = "</w>"
 #: White space of Unicode, where pieces always end. Python's split() adds 1C to 1F.
 CHUNK = re.compile("[^\t-\r \x85\xa0  -     　]+")
-NOT_SPACE = re.compile("[\x1c-\x1f]")
+NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
 
 def default_tokenizer() -> str:
@@ -96,10 +101,11 @@ class Vocabulary:
             return [piece for piece, _ in self.newer(text)]
         return self.pieces(text)
 
-    def lexicon(self) -> bytes:
-        """The whole words, compiled with the ids that merging gives them."""
-        words = {bytes(map(self.byte.__getitem__, w)) for w in self.words} - {b""}
-        return compile_lexicon((w, self.merge(w)) for w in words)
+    def lexicon(self, frequent: list[bytes] = ()) -> bytes:
+        """The vocabulary's whole words and a corpus's frequent pieces, compiled with the ids that
+        merging gives them."""
+        words = {bytes(map(self.byte.__getitem__, w)) for w in self.words} | set(frequent)
+        return compile_lexicon((w, self.merge(w)) for w in words - {b""})
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of a piece, by merging its bytes."""
@@ -144,45 +150,66 @@ class Vocabulary:
         return [x for x in ids if x >= 0]
 
 
+class _Chunks(dict):
+    """Packed ids by chunk; a chunk that isn't there is encoded. ``texts`` has the decoded chunks,
+    each token after a space."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec, self.texts, self.chars = codec, {}, 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        old = self.codec.old
+        if (packed := old.get(chunk)) is not None:  # get() doesn't encode
+            text = old.texts[chunk]
+        else:
+            packed = self.codec.ids_of(chunk)
+            text = "".join([" " + self.codec.vocabulary.tokens[i] for i in memoryview(packed).cast("I")])
+        self[chunk], self.texts[chunk] = packed, text
+        self.chars += len(chunk)
+        return packed
+
+
 class Codec:
-    """Encodes and decodes texts with one vocabulary and its lexicon."""
+    """Encodes and decodes texts with one vocabulary and its lexicon.
+
+    Chunks are runs between white space. What was found for a chunk is remembered, ids and decoded
+    text, in two generations of at most ``CACHE`` chunks or ``CACHE_CHARS`` characters beyond the
+    last text; chunks that are still in use move to the younger one.
+    """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.old, self.young = _Chunks(self), _Chunks(self)
 
-    def _chunk(self, chunk: str) -> bytes:
+    def ids_of(self, chunk: str) -> bytes:
         """The packed ids of a chunk without white space."""
-        if (known := self.old.get(chunk)) is None:
-            vocabulary, out = self.vocabulary, array("I")
-            for k, part in enumerate(vocabulary.cut(chunk) if "<|" in chunk else (chunk,)):
-                if k % 2:
-                    out.append(vocabulary.special[part])
-                    continue
-                for piece in vocabulary.split(part):
-                    word = piece.encode()
-                    out.extend(self.lexicon.get(word) or vocabulary.merge(word))
-            known = out.tobytes()
-        if len(chunk) <= CACHED_CHARS:
-            if len(self.young) >= CACHE:
-                self.old, self.young = self.young, {}
-            self.young[chunk] = known
-        return known
+        vocabulary, out = self.vocabulary, array("I")
+        for k, part in enumerate(vocabulary.cut(chunk) if "<|" in chunk else (chunk,)):
+            if k % 2:
+                out.append(vocabulary.special[part])
+                continue
+            for piece in vocabulary.split(part):
+                word = piece.encode()
+                out.extend(self.lexicon.get(word) or vocabulary.merge(word))
+        return out.tobytes()
+
+    def both(self, text: str) -> tuple[bytes, str]:
+        """The packed ids of a text, and the text that they decode to."""
+        young = self.young
+        if len(young) > CACHE or young.chars > CACHE_CHARS:
+            self.old, self.young = young, _Chunks(self)
+            young = self.young
+        chunks = chunks_of(text)
+        packed = b"".join(map(young.__getitem__, chunks))
+        return packed, "".join(map(young.texts.__getitem__, chunks))[1:]
 
     def encode(self, text: str) -> bytes:
-        chunks = CHUNK.findall(text) if NOT_SPACE.search(text) else text.split()
-        get, new = self.young.get, self._chunk
-        out = []
-        for chunk in chunks:
-            if (known := get(chunk)) is None:
-                known = new(chunk)
-                get = self.young.get
-            out.append(known)
-        return b"".join(out)
+        return self.both(text)[0]
+
 
-    def decode(self, packed: bytes) -> str:
-        return " ".join(map(self.vocabulary.tokens.__getitem__, memoryview(packed).cast("I")))
+def chunks_of(text: str) -> list[str]:
+    return CHUNK.findall(text) if any(c in text for c in NOT_SPACE) else text.split()
 
 
 @lru_cache(maxsize=2)
@@ -196,16 +223,48 @@ def codec_of(path: str, lexicon_file: str) -> Codec:
     return Codec(vocabulary_of(path), Lexicon.open(SparkFiles.get(lexicon_file)))
 
 
-@lru_cache(maxsize=2)
-def _compiled(path: str) -> tuple[str, bytes]:
-    data = vocabulary_of(path).lexicon()
-    return f"lexicon-{sha256(data).hexdigest()[:16]}.fst", data
+def piece_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """``piece binary, n long``: how often each piece occurs in all texts."""
+
+    def count(batches):
+        vocabulary, seen = vocabulary_of(path), Counter()
+
+        def flush():
+            pieces: Counter[str] = Counter()
+            for chunk, n in seen.items():
+                for k, part in enumerate(vocabulary.cut(chunk) if "<|" in chunk else (chunk,)):
+                    for piece in () if k % 2 else vocabulary.split(part):
+                        pieces[piece] += n
+            seen.clear()
+            return pa.RecordBatch.from_pydict(
+                {
+                    "piece": pa.array([p.encode() for p in pieces], pa.binary()),
+                    "n": pa.array(list(pieces.values()), pa.int64()),
+                }
+            )
 
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    seen.update(chunks_of(text))
+            if len(seen) > COUNTED:
+                yield flush()
+        yield flush()
 
-def publish_lexicon(spark: SparkSession, path: str) -> str:
+    part = map_arrow(docs.select(F.col(text_col).alias("text")), count, "piece binary, n long")
+    return part.groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def frequent_pieces(counts: DataFrame, share: int = FREQUENT) -> list[bytes]:
+    """The pieces with over 1/``share`` of all occurrences, in order; at most ``share``."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return sorted(bytes(r.piece) for r in counts.filter(F.col("n") * share > F.lit(total)).collect())
+
+
+def publish_lexicon(spark: SparkSession, path: str, frequent: list[bytes] = ()) -> str:
     """Have Spark send the lexicon to every executor, later ones too; gives the file's name."""
-    name, data = _compiled(path)
-    context = spark.sparkContext
+    data = vocabulary_of(path).lexicon(frequent)
+    name, context = f"lexicon-{sha256(data).hexdigest()[:16]}.fst", spark.sparkContext
     if not any(x.endswith("/" + name) for x in context.listFiles):
         local = os.path.join(tempfile.mkdtemp(), name)  # the driver's copy, which Spark serves
         with open(local, "wb") as file:
@@ -214,6 +273,29 @@ def publish_lexicon(spark: SparkSession, path: str) -> str:
     return name
 
 
+def _encoded(docs: DataFrame, path: str | None, id_col: str, text_col: str, columns: dict) -> DataFrame:
+    """Each row's id and ``columns``: by name, their type in Spark and Arrow, and their function of
+    the packed ids and the decoded text."""
+    path = path or default_tokenizer()
+    counts = stored(piece_counts(docs, path, text_col), "pieces")
+    lexicon_file = publish_lexicon(docs.sparkSession, path, frequent_pieces(counts))
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def encode(batches):
+        codec = codec_of(path, lexicon_file)
+        for batch in batches:
+            found = [codec.both(text) if text else (b"", "") for text in batch.column(1).to_pylist()]
+            made = {n: pa.array([fn(*x) for x in found], kind) for n, (_, kind, fn) in columns.items()}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | made)
+
+    schema = f"doc_id {id_type}, " + ", ".join(f"{n} {kind}" for n, (kind, _, _) in columns.items())
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return map_arrow(narrow, encode, schema)
+
+
+_COUNT = ("long", pa.int64(), lambda packed, _: len(packed) // 4)
+
+
 def encode_documents(
     docs: DataFrame,
     tokenizer_path: str | None = None,
@@ -222,26 +304,23 @@ def encode_documents(
     decoded: bool = False,
 ) -> DataFrame:
     """``doc_id, n_tokens long, ids binary`` and, if asked for, ``decoded string`` of each row."""
-    path = tokenizer_path or default_tokenizer()
-    lexicon_file = publish_lexicon(docs.sparkSession, path)
-    id_type = docs.schema[id_col].dataType.simpleString()
+    columns = {"n_tokens": _COUNT, "ids": ("binary", pa.binary(), lambda packed, _: packed)}
+    if decoded:
+        columns["decoded"] = ("string", pa.string(), lambda _, text: text)
+    return _encoded(docs, tokenizer_path, id_col, text_col, columns)
 
-    def encode(batches):
-        codec = codec_of(path, lexicon_file)
-        for batch in batches:
-            packed = [codec.encode(text) if text else b"" for text in batch.column(1).to_pylist()]
-            columns = {
-                "doc_id": batch.column(0),
-                "n_tokens": pa.array([len(x) // 4 for x in packed], pa.int64()),
-                "ids": pa.array(packed, pa.binary()),
-            }
-            if decoded:
-                columns["decoded"] = pa.array(map(codec.decode, packed), pa.string())
-            yield pa.RecordBatch.from_pydict(columns)
-
-    schema = f"doc_id {id_type}, n_tokens long, ids binary" + ", decoded string" * decoded
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(narrow, encode, schema)
+
+def encode_digests(
+    docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row; neither ids nor texts leave the
+    worker."""
+    columns = {
+        "n_tokens": _COUNT,
+        "ids_sha256": ("string", pa.string(), lambda packed, _: sha256(packed).hexdigest()),
+        "decoded_sha256": ("string", pa.string(), lambda _, text: sha256(text.encode()).hexdigest()),
+    }
+    return _encoded(docs, tokenizer_path, id_col, text_col, columns)
 
 
 def decode_documents(
@@ -264,13 +343,3 @@ def decode_documents(
 
     narrow = encoded.select(F.col(id_col).alias("doc_id"), "ids")
     return map_arrow(narrow, decode, f"doc_id {id_type}, decoded string")
-
-
-def digests(encoded: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of encoded and decoded rows."""
-    return encoded.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )

@@ -49,7 +49,7 @@ def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), decoded=True))
+    return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
 def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

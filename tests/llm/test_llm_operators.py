@@ -102,7 +102,7 @@ def test_empty_tables(spark, odd, labels, benchmark):
         token_counts.suffix_sums(token_counts.length_histogram(none)), secrets.secrets(spark, none),
         line_rules.verdicts(none), decontaminate.contaminated(none, benchmark),
         decontaminate.contaminated(odd, benchmark.limit(0)), lattice_lm.score_documents(none),
-        bpe.digests(bpe.encode_documents(none, decoded=True)), chunk_dedup.repeated_runs(none),
+        bpe.encode_digests(none), chunk_dedup.repeated_runs(none),
         simhash.near_duplicates(none), toxicity.score(none, chain), simhash.keep_first(none),
         chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")),
     ):
@@ -278,7 +278,7 @@ def test_encoding_is_the_library_s(spark, sf_dir):
     docs = docs_of(spark, *texts)
     encoded = bpe.encode_documents(docs, decoded=True).cache()
     again = {r.doc_id: r.decoded for r in bpe.decode_documents(encoded).collect()}
-    for r in bpe.digests(encoded).join(encoded.select("doc_id", "decoded"), "doc_id").collect():
+    for r in bpe.encode_digests(docs).join(encoded.select("doc_id", "decoded"), "doc_id").collect():
         ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
         text = library.decode(ids, skip_special_tokens=False)
         assert r.n_tokens == len(ids) and again[r.doc_id] == text == r.decoded
@@ -286,6 +286,18 @@ def test_encoding_is_the_library_s(spark, sf_dir):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_lexicon_holds_the_corpus_s_frequent_pieces(spark):
+    docs = docs_of(spark, *(["Walk unheardofword, <|endoftext|>"] * 50), "once only")
+    counts = bpe.piece_counts(docs, bpe.default_tokenizer())
+    assert {bytes(r.piece): r.n for r in counts.collect()} == {b"walk": 50, b"unheardofword": 50, b",": 50, b"once": 1, b"only": 1}
+    frequent = bpe.frequent_pieces(counts, 100)
+    assert frequent == [b",", b"unheardofword", b"walk"]
+    vocabulary = bpe.vocabulary_of(bpe.default_tokenizer())
+    lexicon = Lexicon(vocabulary.lexicon(frequent))
+    ids = lexicon.get(b"unheardofword")
+    assert len(ids) > 1 and ids == vocabulary.merge(b"unheardofword") and lexicon.get(b"onceonly") is None
+
+
 # ---------------------------------------------------------------- 8
 
 
