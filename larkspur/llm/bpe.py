@@ -2,9 +2,9 @@
 
 The text is cut at special tokens, brought to NFC, lower-cased character by character and cut into
 pieces at the vocabulary's split pattern. A piece is looked up in a lexicon: a minimal acyclic
-transducer of the corpus's frequent pieces, counted over all texts, and the vocabulary's whole
-words, each with its exact ids. The driver compiles it once for a corpus (at most ``FREQUENT``
-pieces reach it), Spark distributes it as a file, and every worker maps it into memory. Pieces that
+transducer of the corpus's frequent words, counted over all texts, and the vocabulary's whole
+words, each with its exact ids. The driver compiles it once for a corpus (at most 2 x ``FREQUENT``
+words reach it), Spark distributes it as a file, and every worker maps it into memory. Pieces that
 the lexicon lacks are merged exactly, lowest rank first and leftmost among equals. Ids are packed
 as little-endian unsigned 32-bit integers. Decoding joins the ids' token strings by a space, as the
 vocabulary file, which names no decoder, asks for.
@@ -36,17 +36,18 @@ from pyspark.sql import functions as F
 from .common import map_arrow, stored
 from .lexicon import Lexicon, compile_lexicon
 
-#: Chunks, and characters of chunks, that a worker remembers in each of two generations.
-CACHE, CACHE_CHARS = 120_000, 4_000_000
-#: Pieces that the lexicon takes from a corpus: those with over 1/FREQUENT of all occurrences, of
-#: which there are at most FREQUENT.
+#: Pieces, and characters of pieces, that a worker remembers in each of two generations.
+CACHE, CACHE_CHARS = 150_000, 4_000_000
+#: Words with over 1/FREQUENT of a corpus's occurrences go into the lexicon.
 FREQUENT = 50_000
-#: Distinct chunks that a task counts before it passes its counts on.
+#: Distinct words that a task counts before it passes its counts on.
 COUNTED = 100_000
+#: Bits of an id in packed pairs.
+BITS = 24
 END = "</w>"
-#: White space of Unicode, where pieces always end. Python's split() adds 1C to 1F.
-CHUNK = re.compile("[^\t-\r \x85\xa0  -     　]+")
-NOT_SPACE = "\x1c\x1d\x1e\x1f"
+# The split pattern of vocabularies of this kind, and what it is on lower-case ASCII.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
 
 
 def default_tokenizer() -> str:
@@ -75,18 +76,20 @@ class Vocabulary:
         model, names = spec["model"], byte_characters()
         ids = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
+        tokens = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
+        self.token_at = [tokens.get(i) for i in range(max(tokens) + 1)].__getitem__
         self.inner = [ids[c] for c in names]
         self.last = [ids[c + END] for c in names]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        #: rank and merged id, by the pair of ids
+        #: By pair of ids, rank and merged id in one number.
         self.merges = {
-            ids[a] << 32 | ids[b]: (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)
+            ids[a] << BITS | ids[b]: rank << BITS | ids[a + b] for rank, (a, b) in enumerate(pairs)
         }
         self.words = [t[: -len(END)] for t in ids if t.endswith(END)]
         self.byte = {c: b for b, c in enumerate(names)}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(split).findall
+        self.plain = re.compile(ASCII_SPLIT).findall if split == SPLIT else self.pieces
         self.newer = Split(Regex(split), "removed", invert=True).pre_tokenize_str
         self.normal = Tokenizer.from_file(path).normalizer.normalize_str
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
@@ -94,18 +97,21 @@ class Vocabulary:
     def split(self, text: str) -> list[str]:
         """The pieces of a text without special tokens, normalised."""
         if text.isascii():
-            return self.pieces(text.lower())
+            return self.plain(text.lower())
         text = self.normal(text)
-        if any(unicodedata.category(c) == "Cn" for c in text):
-            # Newer characters than Python's own tables know: the library has its own view of them.
+        # Newer characters than Python's own tables know: the library has its own view of them.
+        if not _latin(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
             return [piece for piece, _ in self.newer(text)]
         return self.pieces(text)
 
-    def lexicon(self, frequent: list[bytes] = ()) -> bytes:
-        """The vocabulary's whole words and a corpus's frequent pieces, compiled with the ids that
-        merging gives them."""
-        words = {bytes(map(self.byte.__getitem__, w)) for w in self.words} | set(frequent)
-        return compile_lexicon((w, self.merge(w)) for w in words - {b""})
+    def lexicon(self, frequent: list[str] = ()) -> bytes:
+        """The vocabulary's whole words and the pieces of a corpus's frequent words, compiled with
+        the ids that merging gives them."""
+        words = {bytes(map(self.byte.__getitem__, w)) for w in self.words} - {b""}
+        for word in frequent:
+            for part in self.cut(word)[::2]:
+                words.update(piece.encode() for piece in self.split(part))
+        return compile_lexicon((w, self.merge(w)) for w in words)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of a piece, by merging its bytes."""
@@ -114,102 +120,97 @@ class Vocabulary:
         return self._merge_short(ids) if len(ids) <= 32 else self._merge_long(ids)
 
     def _merge_short(self, ids: list[int]) -> list[int]:
-        get, none = self.merges.get, (1 << 60, 0)
-        ranked = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        get, none, low = self.merges.get, 1 << 62, (1 << BITS) - 1
+        ranked = [get(a << BITS | b, none) for a, b in zip(ids, ids[1:])]
         while ranked:
             best = min(ranked)
-            if best is none:
+            if best == none:
                 break
             k = ranked.index(best)
-            ids[k : k + 2] = [best[1]]
-            del ranked[k]
+            ids[k] = new = best & low
+            del ids[k + 1], ranked[k]
             if k:
-                ranked[k - 1] = get(ids[k - 1] << 32 | ids[k], none)
+                ranked[k - 1] = get(ids[k - 1] << BITS | new, none)
             if k < len(ranked):
-                ranked[k] = get(ids[k] << 32 | ids[k + 1], none)
+                ranked[k] = get(new << BITS | ids[k + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        get, n = self.merges.get, len(ids)
+        get, n, low = self.merges.get, len(ids), (1 << BITS) - 1
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], k, m[1]) for k in range(n - 1) if (m := get(ids[k] << 32 | ids[k + 1]))]
+        heap = [(m, k) for k in range(n - 1) if (m := get(ids[k] << BITS | ids[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            rank, k, new = heapq.heappop(heap)
+            best, k = heapq.heappop(heap)
             right = after[k]
-            if ids[k] < 0 or right >= n or get(ids[k] << 32 | ids[right]) != (rank, new):
+            if ids[k] < 0 or right >= n or get(ids[k] << BITS | ids[right]) != best:
                 continue
+            new = best & low
             ids[k], ids[right] = new, -1
             after[k] = right = after[right]
             if right < n:
                 before[right] = k
-                if m := get(new << 32 | ids[right]):
-                    heapq.heappush(heap, (m[0], k, m[1]))
-            if (left := before[k]) >= 0 and (m := get(ids[left] << 32 | new)):
-                heapq.heappush(heap, (m[0], left, m[1]))
+                if (m := get(new << BITS | ids[right])) is not None:
+                    heapq.heappush(heap, (m, k))
+            if (left := before[k]) >= 0 and (m := get(ids[left] << BITS | new)) is not None:
+                heapq.heappush(heap, (m, left))
         return [x for x in ids if x >= 0]
 
 
-class _Chunks(dict):
-    """Packed ids by chunk; a chunk that isn't there is encoded. ``texts`` has the decoded chunks,
-    each token after a space."""
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class _Pieces(dict):
+    """Packed ids by piece; a piece that isn't there is encoded."""
 
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec, self.texts, self.chars = codec, {}, 0
-
-    def __missing__(self, chunk: str) -> bytes:
-        old = self.codec.old
-        if (packed := old.get(chunk)) is not None:  # get() doesn't encode
-            text = old.texts[chunk]
-        else:
-            packed = self.codec.ids_of(chunk)
-            text = "".join([" " + self.codec.vocabulary.tokens[i] for i in memoryview(packed).cast("I")])
-        self[chunk], self.texts[chunk] = packed, text
-        self.chars += len(chunk)
+        self.codec, self.chars = codec, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        codec = self.codec
+        if (packed := codec.old.get(piece)) is None:  # get() doesn't encode
+            word = piece.encode()
+            packed = array("I", codec.lexicon.get(word) or codec.vocabulary.merge(word)).tobytes()
+        self[piece] = packed
+        self.chars += len(piece)
         return packed
 
 
 class Codec:
     """Encodes and decodes texts with one vocabulary and its lexicon.
 
-    Chunks are runs between white space. What was found for a chunk is remembered, ids and decoded
-    text, in two generations of at most ``CACHE`` chunks or ``CACHE_CHARS`` characters beyond the
-    last text; chunks that are still in use move to the younger one.
+    What was found for a piece is remembered, in two generations of at most ``CACHE`` pieces or
+    ``CACHE_CHARS`` characters beyond the last text's; pieces in use move to the younger one.
     """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.old, self.young = _Chunks(self), _Chunks(self)
+        self.old, self.young = _Pieces(self), _Pieces(self)
 
-    def ids_of(self, chunk: str) -> bytes:
-        """The packed ids of a chunk without white space."""
-        vocabulary, out = self.vocabulary, array("I")
-        for k, part in enumerate(vocabulary.cut(chunk) if "<|" in chunk else (chunk,)):
-            if k % 2:
-                out.append(vocabulary.special[part])
-                continue
-            for piece in vocabulary.split(part):
-                word = piece.encode()
-                out.extend(self.lexicon.get(word) or vocabulary.merge(word))
-        return out.tobytes()
-
-    def both(self, text: str) -> tuple[bytes, str]:
-        """The packed ids of a text, and the text that they decode to."""
-        young = self.young
+    def encode(self, text: str) -> bytes:
+        """The packed ids of a text."""
+        vocabulary, young = self.vocabulary, self.young
         if len(young) > CACHE or young.chars > CACHE_CHARS:
-            self.old, self.young = young, _Chunks(self)
+            self.old, self.young = young, _Pieces(self)
             young = self.young
-        chunks = chunks_of(text)
-        packed = b"".join(map(young.__getitem__, chunks))
-        return packed, "".join(map(young.texts.__getitem__, chunks))[1:]
-
-    def encode(self, text: str) -> bytes:
-        return self.both(text)[0]
-
+        if "<|" not in text:
+            return b"".join(map(young.__getitem__, vocabulary.split(text)))
+        out = []
+        for k, part in enumerate(vocabulary.cut(text)):
+            if k % 2:
+                out.append(array("I", [vocabulary.special[part]]).tobytes())
+            else:
+                out += map(young.__getitem__, vocabulary.split(part))
+        return b"".join(out)
 
-def chunks_of(text: str) -> list[str]:
-    return CHUNK.findall(text) if any(c in text for c in NOT_SPACE) else text.split()
+    def decode(self, packed: bytes) -> str:
+        return " ".join(map(self.vocabulary.token_at, memoryview(packed).cast("I")))
 
 
 @lru_cache(maxsize=2)
@@ -223,45 +224,43 @@ def codec_of(path: str, lexicon_file: str) -> Codec:
     return Codec(vocabulary_of(path), Lexicon.open(SparkFiles.get(lexicon_file)))
 
 
-def piece_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``piece binary, n long``: how often each piece occurs in all texts."""
+def frequent_words(docs: DataFrame, text_col: str = "text", share: int = FREQUENT) -> list[str]:
+    """Words (runs between white space) of all texts, in order: every word with over 1/``share`` of
+    all occurrences is among them, and none that has under half of that.
+
+    A task passes the words on that have over half that share of the ``COUNTED`` or more it has
+    just read, so the counts that are added up lack at most half of the share. At most
+    2 x ``share`` words reach the driver.
+    """
 
     def count(batches):
-        vocabulary, seen = vocabulary_of(path), Counter()
+        seen, total = Counter(), 0
 
         def flush():
-            pieces: Counter[str] = Counter()
-            for chunk, n in seen.items():
-                for k, part in enumerate(vocabulary.cut(chunk) if "<|" in chunk else (chunk,)):
-                    for piece in () if k % 2 else vocabulary.split(part):
-                        pieces[piece] += n
+            kept = {w: n for w, n in seen.items() if 2 * n * share > total}
+            rows = {"word": [None, *kept], "n": [total, *kept.values()]}
             seen.clear()
-            return pa.RecordBatch.from_pydict(
-                {
-                    "piece": pa.array([p.encode() for p in pieces], pa.binary()),
-                    "n": pa.array(list(pieces.values()), pa.int64()),
-                }
-            )
+            return pa.RecordBatch.from_pydict({"word": pa.array(rows["word"], pa.string()), "n": pa.array(rows["n"], pa.int64())})
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    seen.update(chunks_of(text))
+                    words = text.split()
+                    seen.update(words)
+                    total += len(words)
             if len(seen) > COUNTED:
                 yield flush()
+                total = 0
         yield flush()
 
-    part = map_arrow(docs.select(F.col(text_col).alias("text")), count, "piece binary, n long")
-    return part.groupBy("piece").agg(F.sum("n").alias("n"))
+    part = map_arrow(docs.select(F.col(text_col).alias("text")), count, "word string, n long")
+    counts = stored(part.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = counts.filter("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = counts.filter(F.col("word").isNotNull() & (2 * F.col("n") * share > F.lit(total)))
+    return sorted(r.word for r in found.collect())
 
 
-def frequent_pieces(counts: DataFrame, share: int = FREQUENT) -> list[bytes]:
-    """The pieces with over 1/``share`` of all occurrences, in order; at most ``share``."""
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return sorted(bytes(r.piece) for r in counts.filter(F.col("n") * share > F.lit(total)).collect())
-
-
-def publish_lexicon(spark: SparkSession, path: str, frequent: list[bytes] = ()) -> str:
+def publish_lexicon(spark: SparkSession, path: str, frequent: list[str] = ()) -> str:
     """Have Spark send the lexicon to every executor, later ones too; gives the file's name."""
     data = vocabulary_of(path).lexicon(frequent)
     name, context = f"lexicon-{sha256(data).hexdigest()[:16]}.fst", spark.sparkContext
@@ -273,18 +272,20 @@ def publish_lexicon(spark: SparkSession, path: str, frequent: list[bytes] = ())
     return name
 
 
-def _encoded(docs: DataFrame, path: str | None, id_col: str, text_col: str, columns: dict) -> DataFrame:
+def _encoded(
+    docs: DataFrame, path: str | None, id_col: str, text_col: str, columns: dict, decoded: bool = True
+) -> DataFrame:
     """Each row's id and ``columns``: by name, their type in Spark and Arrow, and their function of
     the packed ids and the decoded text."""
     path = path or default_tokenizer()
-    counts = stored(piece_counts(docs, path, text_col), "pieces")
-    lexicon_file = publish_lexicon(docs.sparkSession, path, frequent_pieces(counts))
+    lexicon_file = publish_lexicon(docs.sparkSession, path, frequent_words(docs, text_col))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def encode(batches):
         codec = codec_of(path, lexicon_file)
         for batch in batches:
-            found = [codec.both(text) if text else (b"", "") for text in batch.column(1).to_pylist()]
+            ids = [codec.encode(text) if text else b"" for text in batch.column(1).to_pylist()]
+            found = [(x, codec.decode(x) if decoded else None) for x in ids]
             made = {n: pa.array([fn(*x) for x in found], kind) for n, (_, kind, fn) in columns.items()}
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | made)
 
@@ -307,7 +308,7 @@ def encode_documents(
     columns = {"n_tokens": _COUNT, "ids": ("binary", pa.binary(), lambda packed, _: packed)}
     if decoded:
         columns["decoded"] = ("string", pa.string(), lambda _, text: text)
-    return _encoded(docs, tokenizer_path, id_col, text_col, columns)
+    return _encoded(docs, tokenizer_path, id_col, text_col, columns, decoded)
 
 
 def encode_digests(
@@ -331,10 +332,10 @@ def decode_documents(
     id_type = encoded.schema[id_col].dataType.simpleString()
 
     def decode(batches):
-        tokens = vocabulary_of(path).tokens
+        token_at = vocabulary_of(path).token_at
         for batch in batches:
             texts = [
-                " ".join(map(tokens.__getitem__, memoryview(x or b"").cast("I")))
+                " ".join(map(token_at, memoryview(x or b"").cast("I")))
                 for x in batch.column(1).to_pylist()
             ]
             yield pa.RecordBatch.from_pydict(

@@ -286,16 +286,15 @@ def test_encoding_is_the_library_s(spark, sf_dir):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
-def test_lexicon_holds_the_corpus_s_frequent_pieces(spark):
-    docs = docs_of(spark, *(["Walk unheardofword, <|endoftext|>"] * 50), "once only")
-    counts = bpe.piece_counts(docs, bpe.default_tokenizer())
-    assert {bytes(r.piece): r.n for r in counts.collect()} == {b"walk": 50, b"unheardofword": 50, b",": 50, b"once": 1, b"only": 1}
-    frequent = bpe.frequent_pieces(counts, 100)
-    assert frequent == [b",", b"unheardofword", b"walk"]
+def test_lexicon_holds_the_corpus_s_frequent_words(spark):
+    docs = docs_of(spark, *(["Walk unheardofword, <|endoftext|>"] * 50), "once only", None, "")
+    frequent = bpe.frequent_words(docs, share=20)
+    assert frequent == ["<|endoftext|>", "Walk", "unheardofword,"]
     vocabulary = bpe.vocabulary_of(bpe.default_tokenizer())
     lexicon = Lexicon(vocabulary.lexicon(frequent))
     ids = lexicon.get(b"unheardofword")
-    assert len(ids) > 1 and ids == vocabulary.merge(b"unheardofword") and lexicon.get(b"onceonly") is None
+    assert len(ids) > 1 and ids == vocabulary.merge(b"unheardofword")
+    assert lexicon.get(b",") and lexicon.get(b"onceonly") is None and lexicon.get(b"Walk") is None
 
 
 # ---------------------------------------------------------------- 8
