@@ -2,10 +2,15 @@
 
 Texts become sequences of tokens: letters, digits and underscores, lower-cased. In the template of
 a text, numbers (also as words, or with letters glued to them), units after numbers and names are
-replaced by typed placeholders, neighbours of a kind by one. There are two templates: in one, names
-are capitalised words inside a sentence; in the other, all capitalised words, so names that begin a
-sentence or follow a quote are slots as well. A document holds an item if either tells so. A
-template and its raw tokens come from one marked text, so they have the same positions.
+replaced by typed placeholders, neighbours of a kind by one. There are three templates: in the
+first, names are capitalised words inside a sentence; in the second, all capitalised words, so
+names that begin a sentence or follow a quote are slots as well; in the third, no words are names,
+so that a text in other letter case is found. A document holds an item if any tells so. A template
+and its raw tokens come from one marked text, so they have the same positions.
+
+Documents are first searched for anchors: short sequences of words, without slots, of which a
+document that holds an item must have one. The rest is done for documents that have one only.
+
 Windows of ``WINDOW`` template tokens are hashed and joined with those of the benchmark; items
 shorter than a window are a single window of their own length. A match is placed by its shift
 (document position minus item position), and an item is a candidate where the windows matched at
@@ -21,12 +26,15 @@ Only windows that the benchmark holds survive the join. The benchmark's windows
 they are at most ``BROADCAST_WINDOWS``, and joined by hash otherwise.
 
 Null and empty texts, on either side, match nothing. Repeated documents are one, under their
-doc_id; documents without doc_id can't be reported. Empty tables give an empty result.
+doc_id; documents without doc_id can't be reported. Further columns have no effect, and
+``without_benchmark`` carries them along. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -35,6 +43,10 @@ WINDOW = 8
 MIN_SHARE = 0.5
 #: Windows of the benchmark, 16 bytes each in a hash table, that are broadcast at most.
 BROADCAST_WINDOWS = 500_000
+#: Words of an anchor at most, and anchors that documents are searched for at most; with more,
+#: all documents go on to the comparison of windows.
+ANCHOR = 4
+MAX_ANCHORS = 20_000
 
 #: Placeholders; in marked texts they stand before the words that they replace. LEADING marks
 #: capitalised words that begin a sentence or a line or follow other signs, names or not.
@@ -90,11 +102,12 @@ def _one_each(marked: Column, mark: str) -> Column:
 
 
 def _levels(marked: Column) -> list[Column]:
-    """The marked text for each template: names inside sentences, and all capitalised words."""
+    """The marked text for each template: names inside sentences, all capitalised words, no names."""
     numbers = _one_each(marked, NUMBER)
     return [
         _one_each(F.translate(numbers, LEADING, ""), NAME),
         _one_each(F.translate(numbers, LEADING, NAME), NAME),
+        F.translate(numbers, LEADING + NAME, ""),
     ]
 
 
@@ -114,7 +127,7 @@ def _by_level(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def templates(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """``id, level, tokens``: the template tokens of each row, for both templates."""
+    """``id, level, tokens``: the template tokens of each row, for all templates."""
     rows = _by_level(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
     return rows.select("id", "level", _template_tokens(F.col("marked")).alias("tokens"))
 
@@ -127,34 +140,86 @@ def _window_hashes(tokens: Column, size: int) -> Column:
     )
 
 
+def _benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """``item_id, level, size, n_windows, tokens``: the items' templates; items shorter than a window
+    are a single one of their own length."""
+    items = templates(benchmark, "item_id").filter(F.size("tokens") > 0)
+    size = F.least(F.size("tokens"), F.lit(window))
+    items = items.select(
+        F.col("id").alias("item_id"), "level", size.alias("size"), (F.size("tokens") - size + 1).alias("n_windows"), "tokens"
+    )
+    # With every capitalised word a slot, items need a full window and as many words as slots.
+    literal = F.filter("tokens", lambda t: ~t.isin(NUMBER, UNIT, NAME))
+    return items.filter((F.col("level") != 1) | ((F.col("size") == window) & (2 * F.size(literal) >= F.size("tokens"))))
+
+
+def anchors(items: DataFrame, min_share: float) -> DataFrame:
+    """``size, first, hash``: word sequences of which a document that holds an item has one at least.
+
+    A document that holds an item has ``min_share`` of its windows, so it has one of any so many
+    windows that the others are fewer than that. Of those with the longest sequences, each window
+    gives the sequence of up to ``ANCHOR`` neighbouring words, no slots among them, whose hash is
+    least, so that neighbouring windows mostly give the same. ``size`` is 0 for windows that have
+    no such word.
+    """
+    every = F.transform(F.sequence(F.lit(1), F.col("n_windows")), lambda i: F.slice("tokens", i, F.col("size")))
+    windows = items.select("item_id", "level", "n_windows", F.explode(every).alias("w"))
+    found = F.lit(None).cast("struct<size:int,hash:bigint,first:bigint>")
+    for n in range(1, ANCHOR + 1):
+        runs = F.filter(
+            F.transform("w", lambda _, i: F.slice("w", i + 1, n)),  # noqa: B023
+            lambda x: (F.size(x) == n) & F.forall(x, lambda t: t.rlike(r"^\p{L}+$")),  # noqa: B023
+        )
+        hashes = F.transform(runs, lambda x: F.transform(x, lambda t: F.xxhash64(t)))
+        least = F.array_min(
+            F.transform(hashes, lambda x: F.struct(F.lit(n).alias("size"), F.xxhash64(x).alias("hash"), x[0].alias("first")))  # noqa: B023
+        )
+        found = F.coalesce(least, found)
+    own = Window.partitionBy("item_id", "level").orderBy(F.col("a.size").desc_nulls_last(), "a.hash")
+    ranked = windows.select("item_id", "level", "n_windows", found.alias("a")).withColumn("rank", F.row_number().over(own))
+    needed = F.col("n_windows") - F.greatest(F.ceil(min_share * F.col("n_windows")), F.lit(1)) + 1
+    kept = ranked.filter(F.col("rank") <= needed)
+    return kept.select(F.coalesce("a.size", F.lit(0)).alias("size"), "a.first", "a.hash").distinct()
+
+
+def may_hold(docs: DataFrame, found: DataFrame, limit: int) -> DataFrame:
+    """The rows that have an anchor. If there are over ``limit``, or windows without any, all rows."""
+    rows = found.limit(limit + 1).collect()
+    if not rows:
+        return docs.filter(F.lit(False))
+    if len(rows) > limit or any(r["size"] == 0 for r in rows):
+        return docs
+    by_size = {n: [r.hash for r in rows if r["size"] == n] for n in sorted({r["size"] for r in rows})}
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")
+
+    def has_one(hashes: Column) -> Column:
+        def begins(h: Column, i: Column) -> Column:
+            ends = [F.xxhash64(F.array(*(F.get(hashes, i + k) for k in range(n)))).isin(x) for n, x in by_size.items()]
+            return h.isin([r.first for r in rows]) & reduce(Column.__or__, ends)
+
+        return F.size(F.filter(hashes, begins)) > 0
+
+    # A one-element array passes the hashes on, so that they are computed once.
+    return docs.filter(F.exists(F.array(F.transform(words, lambda t: F.xxhash64(t))), has_one))
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     window: int = WINDOW,
     min_share: float = MIN_SHARE,
     broadcast_windows: int = BROADCAST_WINDOWS,
+    max_anchors: int = MAX_ANCHORS,
 ) -> DataFrame:
     """``doc_id, item_id, shift, n_windows, n_matched, n_slots, n_changed, kind``: a row for each
     document and benchmark item that the document holds, at the place with most matches; ``shift``
     is that of its first matched window."""
-    items = templates(benchmark, "item_id").filter(F.size("tokens") > 0)
-    items = items.select(
-        "id", "level", "tokens", F.least(F.size("tokens"), F.lit(window)).alias("size")
-    )
-    # With every capitalised word a slot, items need a full window and as many words as slots.
-    literal = F.filter("tokens", lambda t: ~t.isin(NUMBER, UNIT, NAME))
-    items = items.filter(
-        (F.col("level") == 0) | ((F.col("size") == window) & (2 * F.size(literal) >= F.size("tokens")))
-    )
+    items = stored(_benchmark_windows(benchmark.select("item_id", "text"), window), "items")
     # At most `window` sizes, whatever the benchmark's size.
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())
     by_size = [
         items.filter(F.col("size") == n).select(
-            F.lit(n).alias("size"),
-            "level",
-            F.col("id").alias("item_id"),
-            (F.size("tokens") - n + 1).alias("n_windows"),
-            F.posexplode(_window_hashes(F.col("tokens"), n)).alias("item_at", "hash"),
+            "size", "level", "item_id", "n_windows", F.posexplode(_window_hashes(F.col("tokens"), n)).alias("item_at", "hash")
         )
         for n in sizes
     ]
@@ -162,30 +227,30 @@ def contaminated(
     if not by_size:
         index = spark.createDataFrame([], "size int, level int, item_id long, n_windows int, item_at int, hash long")
     else:
-        index = by_size[0]
-        for more in by_size[1:]:
-            index = index.unionByName(more)
+        index = reduce(DataFrame.unionByName, by_size)
     index = stored(index, "benchmark")
     few = index.count() <= broadcast_windows
     side = F.broadcast(index) if few else index
 
-    tokens = templates(docs, "doc_id").filter(F.size("tokens") > 0)
-    hashed = [
-        tokens.filter((F.size("tokens") >= n) & (F.lit(n == window) | (F.col("level") == 0))).select(
-            F.col("id").alias("doc_id"),
-            "level",
-            F.lit(n).alias("size"),
-            F.posexplode(_window_hashes(F.col("tokens"), n)).alias("doc_at", "hash"),
-        )
-        for n in sizes or [window]
-    ]
-    windows = hashed[0]
-    for more in hashed[1:]:
-        windows = windows.unionByName(more)
+    known = docs.select("doc_id", "text").filter("doc_id is not null")
+    possible = stored(may_hold(known, anchors(items, min_share), max_anchors), "possible")
+    tokens = templates(possible, "doc_id").filter(F.size("tokens") > 0)
+    windows = reduce(
+        DataFrame.unionByName,
+        [
+            tokens.filter((F.size("tokens") >= n) & (F.lit(n == window) | (F.col("level") != 1))).select(
+                F.col("id").alias("doc_id"),
+                "level",
+                F.lit(n).alias("size"),
+                F.posexplode(_window_hashes(F.col("tokens"), n)).alias("doc_at", "hash"),
+            )
+            for n in sizes or [window]
+        ],
+    )
     matches = windows.join(side, ["size", "level", "hash"]).select(
         "doc_id", "item_id", "level", "n_windows", "size", (F.col("doc_at") - F.col("item_at")).alias("shift"), "item_at"
     )
-    return _consistent(docs, benchmark, stored(_candidates(matches, min_share), "candidates"))
+    return _consistent(possible, benchmark, stored(_candidates(matches, min_share), "candidates"))
 
 
 def _chain(pairs: Column) -> Column:

@@ -203,7 +203,7 @@ def test_reparameterised_questions(spark):
         item.upper(), "well, " + item, "one short Name two", "a short text", "In the story we stop early",
     )
     got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contaminated(docs, items).collect()}
-    assert got == {(0, 1): "changed", (3, 1): "exact", (4, 2): "exact"}
+    assert got == {(0, 1): "changed", (2, 1): "exact", (3, 1): "exact", (4, 2): "exact"}
     assert got == {(r.doc_id, r.item_id): r.kind for r in decontaminate.contaminated(docs, items, broadcast_windows=0).collect()}
 
 
