@@ -37,7 +37,7 @@ from .common import map_arrow, stored
 from .lexicon import Lexicon, compile_lexicon
 
 #: Pieces, and characters of pieces, that a worker remembers in each of two generations.
-CACHE, CACHE_CHARS = 150_000, 4_000_000
+CACHE, CACHE_CHARS = 250_000, 6_000_000
 #: Words with over 1/FREQUENT of a corpus's occurrences go into the lexicon.
 FREQUENT = 50_000
 #: Distinct words that a task counts before it passes its counts on.
@@ -45,9 +45,10 @@ COUNTED = 100_000
 #: Bits of an id in packed pairs.
 BITS = 24
 END = "</w>"
-# The split pattern of vocabularies of this kind, and what it is on lower-case ASCII.
+# The split pattern of vocabularies of this kind, and letters, numbers and spaces that
+# lower-case Latin-1 text can hold.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-ASCII_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
+LETTERS, NUMBERS, SPACES = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 
 
 def default_tokenizer() -> str:
@@ -89,18 +90,19 @@ class Vocabulary:
         self.byte = {c: b for b, c in enumerate(names)}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(split).findall
-        self.plain = re.compile(ASCII_SPLIT).findall if split == SPLIT else self.pieces
+        latin = SPLIT.replace(r"\p{L}", LETTERS).replace(r"\p{N}", NUMBERS).replace(r"\s", SPACES)
+        self.plain = re.compile(latin).findall if split == SPLIT else self.pieces
         self.newer = Split(Regex(split), "removed", invert=True).pre_tokenize_str
         self.normal = Tokenizer.from_file(path).normalizer.normalize_str
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
 
     def split(self, text: str) -> list[str]:
         """The pieces of a text without special tokens, normalised."""
-        if text.isascii():
+        if _latin(text):  # is in NFC, and its lower case too
             return self.plain(text.lower())
         text = self.normal(text)
-        # Newer characters than Python's own tables know: the library has its own view of them.
-        if not _latin(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
+        if any(unicodedata.category(c) == "Cn" for c in set(text)):
+            # Newer characters than Python's own tables know: the library has its own view of them.
             return [piece for piece, _ in self.newer(text)]
         return self.pieces(text)
 
@@ -158,6 +160,9 @@ class Vocabulary:
 
 
 def _latin(text: str) -> bool:
+    """Whether all characters are below U+0100."""
+    if text.isascii():
+        return True
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
