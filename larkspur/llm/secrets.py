@@ -2,19 +2,22 @@
 
 Base patterns find assignments to telling names, access keys and long hexadecimal runs. Further
 runs of key characters are compared under two order-1 Markov models over characters, one trained
-on random strings and one on ordinary identifiers: a run whose mean log-likelihood ratio per
-transition exceeds a threshold is reported as kind ``markov``. Of a run that holds base spans, the
-pieces before, between and after them are judged, so such spans never overlap base spans.
+on random strings and one on ordinary identifiers: a run whose log-likelihood ratio, summed over
+its transitions, reaches a bound that grows with their number is reported as kind ``markov``. Of a
+run that holds base spans, the pieces before, between and after them are judged, so such spans
+never overlap base spans. Whole UUIDs are names and no secrets.
 
 The models are trained from labelled samples: tokens with a label 1 (random) or 0 (ordinary).
 ``corpus_counts`` takes them from all documents: values of base matches are random, the other
-tokens are ordinary. ``drawn_samples`` adds random strings over the usual key alphabets, so that
-alphabets the corpus happens to lack are known too. Transitions are counted where the documents
-are read; only the counts, at most 2 x 68 x 68 numbers, reach the driver.
+tokens are ordinary. ``drawn_samples`` adds random strings over the usual key alphabets and
+identifiers made of common words, so that alphabets and words which the corpus happens to lack are
+known too; the ordinary model is a mixture of the corpus's and the samples' transitions.
+Transitions are counted where the documents are read; only the counts, at most 2 x 68 x 68
+numbers, reach the driver.
 
 Null and empty texts have no spans. Rows are scanned one by one: repeated rows and ties have no
-effect, an empty table gives an empty result (the models then rest on the drawn samples alone).
-Positions are code points, ends exclusive.
+effect, further columns neither, and ``redact`` carries them along. An empty table gives an empty
+result (the models then rest on the drawn samples alone). Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -36,11 +39,27 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Characters of text whose distinct tokens a task holds before it counts their transitions.
 COUNT_CHARS = 2_000_000
 #: Characters that a run needs to be judged by the models.
-MIN_RUN = 20
+MIN_RUN = 10
 #: Distinct characters that such a run needs; fewer make rules and padding.
-MIN_DISTINCT = 8
-#: Mean log-likelihood ratio per transition (nats) from which a run counts as random.
-THRESHOLD = 1.0
+MIN_DISTINCT = 5
+#: A run is random from this log-likelihood ratio (nats) on, and this much more for each transition.
+BOUND, BOUND_EACH = 10.0, 0.3
+#: Weight of the drawn identifiers in the ordinary model.
+DRAWN_WEIGHT = 0.3
+#: Common words of identifiers, as labelled samples of ordinary text.
+WORDS = """
+abstract access account action active address admin after agent algorithm alpha amount android angular application
+apple archive argument array article assert asset async attribute audio author average backend background backup base
+basic batch before begin binary block board boolean bottom branch browser buffer build button cache calendar callback
+camera cancel category center certificate change channel character check child class clean client clock close cloud
+cluster code collection color column command comment commit common company compare complete component config
+connection console constant container content context control convert copy core count counter create credit current
+customer dashboard data database debug default delete delivery dependency desktop detail device dialog dictionary
+digest directory display document domain double download driver dynamic editor element email empty enable encode
+engine entity environment error event example exception execute export expression factory feature field file filter
+final first float folder format frame framework function gateway generic global graph group handler hash header health
+helper history host image import index info initial input install instance integer interface internal
+""".split()
 
 
 def _either_case(word: str) -> str:
@@ -56,7 +75,10 @@ HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Holds every match of ACCESS and HEX.
-RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: What the models judge.
+JUDGED = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
+UUID = re.compile(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
@@ -91,25 +113,39 @@ class MarkovPair:
     ratio: list[list[float]]
 
     @classmethod
-    def fit(cls, counts: dict[tuple[int, int, int], int], smooth: float = 0.5) -> MarkovPair:
-        """``counts``: by label, character and next character."""
+    def fit(cls, counts: dict[tuple[int, int, int], int], drawn: dict[tuple[int, int, int], int], smooth: float = 0.5) -> MarkovPair:
+        """Both by label, character and next character: ``counts`` of a corpus, and of ``drawn``
+        samples. The random strings of both make one model."""
         table = np.full((2, SIZE, SIZE), smooth)
-        for (label, a, b), n in counts.items():
+        names = np.full((SIZE, SIZE), smooth / 2)
+        for (label, a, b), n in (*counts.items(), *((k, n) for k, n in drawn.items() if k[0])):
             table[label, a, b] += n
+        for (label, a, b), n in drawn.items():
+            if not label:
+                names[a, b] += n
         table /= table.sum(axis=2, keepdims=True)
-        return cls((np.log(table[1]) - np.log(table[0])).tolist())
+        names /= names.sum(axis=1, keepdims=True)
+        weight = DRAWN_WEIGHT if any(not label for label, _, _ in counts) else 1.0
+        ordinary = (1 - weight) * table[0] + weight * names
+        return cls((np.log(table[1]) - np.log(ordinary)).tolist())
 
     def score(self, token: str) -> float:
-        """Mean log-likelihood ratio per transition."""
+        """Log-likelihood ratio of the token's transitions."""
         codes = [CODE[c] for c in token if c in CODE]
-        if len(codes) < 2:
-            return 0.0
-        return sum(self.ratio[a][b] for a, b in zip(codes, codes[1:])) / (len(codes) - 1)
+        ratio = self.ratio
+        return sum([ratio[a][b] for a, b in zip(codes, codes[1:])])
+
+    def is_random(self, token: str, bound: float = BOUND) -> bool:
+        """Whether the run is long and varied enough, no number and no UUID, and random."""
+        n = len(token)
+        if n < MIN_RUN or token.isdigit() or len(set(token)) < MIN_DISTINCT:
+            return False
+        return self.score(token) >= bound + BOUND_EACH * (n - 1) and not UUID.fullmatch(token)
 
 
 def drawn_samples(n: int = 400, seed: int = 42) -> list[tuple[str, int]]:
-    """Labelled samples that need no corpus: random strings over the usual key alphabets, and
-    runs in alphabetical order, which are ordinary."""
+    """Labelled samples that need no corpus: random strings over the usual key alphabets, runs in
+    alphabetical order and identifiers made of ``WORDS``, which are ordinary."""
     rnd = random.Random(seed)
     lower, upper, digits = SYMBOLS[:26], SYMBOLS[26:52], SYMBOLS[52:62]
     alphabets = (
@@ -121,8 +157,15 @@ def drawn_samples(n: int = 400, seed: int = 42) -> list[tuple[str, int]]:
         digits + lower + upper + "+/",
         digits + lower + upper + "-_",
     )
-    ordered = [(part * 20, 0) for part in (lower, upper, digits)]
-    return ordered + [
+    ordinary = [(part * 20, 0) for part in (lower, upper, digits)]
+    ordinary += [(token, 0) for word in WORDS for token in joined_identifiers(word)]
+    for _ in range(5 * n):
+        a, b, c = rnd.choices(WORDS, k=3)
+        title = a.capitalize() + b.capitalize()
+        forms = (f"{a}{b.capitalize()}{c.capitalize()}", f"{title}{rnd.randint(0, 99)}", f"{a}_{b}_{c}", f"{a}-{b}")
+        day = f"{rnd.randint(1970, 2039)}-{rnd.randint(1, 12):02}-{rnd.randint(1, 31):02}T{rnd.randint(0, 23):02}"
+        ordinary += [(t, 0) for t in (*forms, f"/{a}/{b}{rnd.randint(0, 9)}/{c}", f"{a}_{b}".upper(), day)]
+    return ordinary + [
         ("".join(rnd.choices(a, k=rnd.randint(20, 48))), 1) for a in alphabets for _ in range(n)
     ]
 
@@ -193,34 +236,30 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
 
 def train(counted: DataFrame | None, drawn: list[tuple[str, int]]) -> MarkovPair:
     """Fit both models on the transitions ``label, a, b, n`` of a table and on labelled samples."""
-    counts: Counter = Counter()
+    samples: Counter = Counter()
     for token, label in drawn:
         for (a, b), n in transitions(token).items():
-            counts[label, a, b] += n
-    if counted is not None:
-        for row in counted.groupBy("label", "a", "b").agg(F.sum("n").alias("n")).collect():
-            counts[row.label, row.a, row.b] += row.n
-    return MarkovPair.fit(counts)
+            samples[label, a, b] += n
+    rows = [] if counted is None else counted.groupBy("label", "a", "b").agg(F.sum("n").alias("n")).collect()
+    return MarkovPair.fit({(r.label, r.a, r.b): r.n for r in rows}, samples)
 
 
-def all_spans(text: str, model: MarkovPair, threshold: float) -> list[tuple[int, int, int]]:
+def all_spans(text: str, model: MarkovPair, bound: float = BOUND) -> list[tuple[int, int, int]]:
     """Base spans and the runs that the models call random, sorted."""
     spans = base_spans(text)
     more, k, n = [], 0, len(spans)
     reach = 0
-    for run in RUN.finditer(text):
+    for run in JUDGED.finditer(text):
         start, end = run.span()
         pieces, at = [], max(start, reach)
         while k < n and spans[k][0] < end:
-            pieces.append((at, spans[k][0]))
+            if spans[k][0] > at:
+                pieces.append((at, spans[k][0]))
             reach = max(reach, spans[k][2])
             at = max(at, reach)
             k += 1
         for start, stop in (*pieces, (at, end)):
-            token = text[start:stop]
-            if len(token) < MIN_RUN or token.isdigit() or len(set(token)) < MIN_DISTINCT:
-                continue
-            if model.score(token) >= threshold:
+            if stop - start >= MIN_RUN and model.is_random(text[start:stop], bound):
                 more.append((start, 3, stop))
     return sorted(spans + more) if more else spans
 
@@ -229,13 +268,13 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def scan(docs: DataFrame, model: MarkovPair, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, model: MarkovPair, bound: float = BOUND) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, n_markov`` (long), ``base_spans, spans`` (string)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def find(batches):
         for batch in batches:
-            found = [all_spans(t, model, threshold) if t else [] for t in batch.column(1).to_pylist()]
+            found = [all_spans(t, model, bound) if t else [] for t in batch.column(1).to_pylist()]
             columns = {"doc_id": batch.column(0)}
             for k, kind in enumerate(KINDS):
                 columns[f"n_{kind}"] = pa.array([sum(s[1] == k for s in x) for x in found], pa.int64())
@@ -249,13 +288,13 @@ def scan(docs: DataFrame, model: MarkovPair, threshold: float = THRESHOLD) -> Da
 
 
 def redact(
-    docs: DataFrame, model: MarkovPair, threshold: float = THRESHOLD, mark: str = "<SECRET>"
+    docs: DataFrame, model: MarkovPair, bound: float = BOUND, mark: str = "<SECRET>"
 ) -> DataFrame:
     """The same rows and columns, each secret in ``text`` replaced by ``mark``; null stays null."""
 
     def replace(text: str) -> str:
         out, at = [], 0
-        for start, _, end in all_spans(text, model, threshold):
+        for start, _, end in all_spans(text, model, bound):
             if start >= at:
                 out += [text[at:start], mark]
             at = max(at, end)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -180,16 +181,52 @@ def test_models_tell_random_strings(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = secrets.corpus_model(docs)
     rnd = random.Random(5)
-    letters = secrets.SYMBOLS[:62]
-    drawn = ["".join(rnd.choices(letters, k=24)) for _ in range(200)]
-    assert sum(model.score(x) >= secrets.THRESHOLD for x in drawn) >= 198
-    words = [w for r in docs.collect() for w in secrets.RUN.findall(r.text)]
-    plain = [w for w in words if not secrets.base_spans(w)]
-    assert sum(model.score(w) >= secrets.THRESHOLD for w in plain) <= 0.02 * max(len(plain), 50)
-    found = secrets.scan(docs_of(spark, f"here is {drawn[0]} for you", "-" * 40 + " internationalizationalism"), model).orderBy("doc_id").collect()
+    signs = secrets.SYMBOLS
+    alphabets = {"letters and digits": signs[:62], "lower case and digits": signs[:26] + signs[52:62], "base 64": signs[:64]}
+    for alphabet in alphabets.values():
+        for n, least in ((10, 0.75), (12, 0.85), (16, 0.92), (20, 0.97), (32, 0.99)):
+            drawn = ["".join(rnd.choices(alphabet, k=n)) for _ in range(300)]
+            assert sum(map(model.is_random, drawn)) >= least * 300
+    drawn = "".join(rnd.choices(signs[:62], k=24))
+    # Names that none of the samples holds.
+    names = (
+        "AbstractSingletonProxyFactoryBean XMLHttpRequestEventTargetPrototype /usr/local/lib/python3/site-packages/numpy "
+        "application/vnd_openxmlformats-officedocument 550e8400-e29b-41d4-a716-446655440000 internationalization "
+        "supercalifragilistic MAX_BUFFER_SIZE_BYTES kubernetes-ingress-nginx-controller node_modules/lodash/fp 2024-01-01T00"
+    ).split()
+    assert [x for x in names if model.is_random(x)] == []
+    words = [w for r in docs.collect() for w in secrets.JUDGED.findall(r.text) if not secrets.base_spans(w)]
+    assert sum(map(model.is_random, words)) <= 0.001 * len(words)
+    found = secrets.scan(docs_of(spark, f"here is {drawn} for you", "-" * 40 + " internationalizationalism"), model).orderBy("doc_id").collect()
     assert found[0].spans == "markov:8:32" and found[1].spans == ""
 
 
+def plain_base(text):
+    """(start, kind, end) by the contract's words, pattern by pattern."""
+    any_case = "(?:" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in n) for n in ("password", "passwd", "secret", "token", "api_?key")) + ")"
+    out = []
+    for k, (pattern, group, least) in enumerate(
+        [(any_case + "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6), ("AKIA[A-Z0-9]+", 0, 20), ("[0-9a-f]+", 0, 24)]
+    ):
+        out += [(m.start(), k, m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    return sorted(out)
+
+
+def test_base_columns_of_all_documents(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")  # the smallest tables hold no secret
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    names = ("assign", "access", "hex")
+    some = 0
+    for r in queries.op3_secrets(spark, sf_dir).collect():
+        spans = plain_base(rows[r.doc_id])
+        some += len(spans)
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for _, k, _ in spans) for x in range(3)]
+        text = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert ",".join(x for x in r.spans.split(",") if not x.startswith("markov")) == text
+    assert some
+
+
 # ---------------------------------------------------------------- 5
 
 
