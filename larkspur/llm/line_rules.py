@@ -8,8 +8,9 @@ in 5-word windows that occur twice or more; a text fails them with fewer than 10
 
 **Across documents.** Lines are normalised (lower case, digit runs as 0, white space as single
 spaces) and hashed. For each host the distinct documents with a line are counted, exact copies
-counting as one document. A line is common where that number exceeds ``COMMON_DOCS`` and
-``COMMON_SHARE`` of the host's distinct documents; common lines are removed, and a document is
+counting as one document. A line is common where that number exceeds ``COMMON_DOCS``, whatever the
+host's size, or, in a small host, ``FEW_DOCS`` and ``COMMON_SHARE`` of the host's distinct
+documents; common lines are removed, and a document is
 depleted if fewer than 10 words remain or over ``DEPLETED`` of its words went. A document is kept
 if it passes the base rules and isn't depleted.
 
@@ -18,7 +19,8 @@ costs no more than others. The common lines are at most (lines of a host) / (the
 are broadcast only up to ``BROADCAST_LINES``.
 
 Null and empty texts have no words and fail. A null host is a host of its own. Repeated rows get
-the same result each; rows without doc_id too. An empty table gives an empty result.
+the same result each; rows without doc_id too. Further columns have no effect, and ``cleaned``
+carries them along. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SEPARATORS, stored
+from .common import HELPER, WORD_SEPARATORS, stored
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -34,8 +36,8 @@ MAX_REPEATED_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
 #: A line is common in a host above this many distinct documents ...
 COMMON_DOCS = 50
-#: ... and above this share of the host's distinct documents.
-COMMON_SHARE = 0.01
+#: ... or above this many and this share of the host's distinct documents.
+FEW_DOCS, COMMON_SHARE = 5, 0.1
 #: Share of its words whose loss depletes a document.
 DEPLETED = 0.8
 #: Common lines, 16 bytes and the host's name each, that are broadcast at most.
@@ -125,22 +127,24 @@ def measures(docs: DataFrame, host_col: str = "source", window: int = WINDOW) ->
     )
 
 
-def common_lines(measured: DataFrame, min_docs: int = COMMON_DOCS, share: float = COMMON_SHARE) -> DataFrame:
-    """``host, h, n_docs``: lines above both limits."""
+def common_lines(
+    measured: DataFrame, max_docs: int = COMMON_DOCS, few_docs: int = FEW_DOCS, share: float = COMMON_SHARE
+) -> DataFrame:
+    """``host, h, n_docs``: lines above ``max_docs``, or above ``few_docs`` and ``share``."""
     lines = F.array_distinct(F.transform("lines", lambda x: x["h"]))
     distinct = measured.groupBy("host", "text_hash").agg(F.first(lines).alias("lines"))
     counted = (
         distinct.select("host", F.explode("lines").alias("h"))
         .groupBy("host", "h")
         .agg(F.count(F.lit(1)).alias("n_docs"))
-        .filter(F.col("n_docs") > min_docs)
+        .filter(F.col("n_docs") > few_docs)
     )
     hosts = (
         measured.select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     ).withColumnRenamed("host", "of")
     return (
         counted.join(hosts, F.col("host").eqNullSafe(F.col("of")))
-        .filter(F.col("n_docs") > share * F.col("host_docs"))
+        .filter((F.col("n_docs") > max_docs) | (F.col("n_docs") > share * F.col("host_docs")))
         .select("host", "h", "n_docs")
     )
 
@@ -198,22 +202,25 @@ def verdicts(docs: DataFrame) -> DataFrame:
     )
 
 
-def cleaned(docs: DataFrame, host_col: str = "source") -> DataFrame:
+def cleaned(docs: DataFrame, host_col: str = "source", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """The kept rows with their columns, common lines removed from ``text``."""
-    seen = judge(docs, host_col).filter("kept").select(
-        F.col("doc_id").alias("doc"), F.col("text_hash").alias("txt"), F.col("host").alias("on"), "common"
-    ).dropDuplicates(["doc", "txt", "on"])
+    names = [f"{HELPER}_{x}" for x in ("doc", "text", "host", "common")]
+    seen = judge(docs, host_col, broadcast_lines).filter("kept").select("doc_id", "text_hash", "host", "common")
+    seen = seen.dropDuplicates(["doc_id", "text_hash", "host"]).toDF(*names)
     both = docs.join(
         seen,
-        docs["doc_id"].eqNullSafe(F.col("doc"))
-        & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("txt"))
-        & docs[host_col].eqNullSafe(F.col("on")),
+        docs["doc_id"].eqNullSafe(F.col(names[0]))
+        & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(names[1]))
+        & docs[host_col].eqNullSafe(F.col(names[2])),
     )
-    lines = F.split(docs["text"], "\n")
+    common = F.col(names[3])
     normal = lambda x: F.get(_normal_lines(x), 0)
-    rest = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("common", F.xxhash64(normal(x))), F.lit(False)))
-    text = F.when(F.col("common").isNull(), docs["text"]).otherwise(F.array_join(rest, "\n"))
-    return both.withColumn("text", text).select(docs.columns)
+    rest = F.filter(
+        F.split(docs["text"], "\n"),
+        lambda x: ~F.coalesce(F.array_contains(common, F.xxhash64(normal(x))), F.lit(False)),
+    )
+    text = F.when(common.isNull(), docs["text"]).otherwise(F.array_join(rest, "\n"))
+    return both.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns))
 
 
 #: For DuckDB. Line hashes differ there, which doesn't matter for counts.
@@ -240,7 +247,7 @@ WITH d AS (
 ), common AS (
   SELECT l.host, l.line FROM (SELECT host, unnest(list_distinct(normal)) AS line FROM texts) l
   JOIN hosts h ON l.host IS NOT DISTINCT FROM h.host
-  GROUP BY l.host, l.line, h.host_docs HAVING count(*) > 50 AND count(*) > 0.01 * h.host_docs
+  GROUP BY l.host, l.line, h.host_docs HAVING count(*) > 50 OR (count(*) > 5 AND count(*) > 0.1::DOUBLE * h.host_docs)
 ), gone AS (
   SELECT l.rid, count(*) AS n_lines, sum(len(string_split(l.line, ' ')))::BIGINT AS n_words
   FROM (SELECT rid, host, unnest(normal) AS line FROM w) l
