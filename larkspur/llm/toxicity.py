@@ -3,7 +3,8 @@
 The categories are taken in a fixed order. The linear model (logistic regression) of each sees the
 text's features and the probabilities of all earlier categories. In training, those earlier
 probabilities are out of fold: each document's comes from a model that didn't see it, as will be
-so for new documents. Folds go by a hash of doc_id.
+so for new documents; features are chosen and measures scaled without the fold as well. Folds go by
+the least feature of a document, which near copies mostly share, so copies rarely part.
 
 Features are the set of words and of word beginnings (CRC-32 of their bytes, A to Z lower-cased,
 other ASCII signs as separators), and a few standardised shape measures. The models are fitted on
@@ -15,11 +16,13 @@ Null and empty texts have no words; their probabilities come from the shape meas
 they are never rejected. Labels that are null don't train their category, a document labelled
 twice counts with its greatest labels, repeated documents train once. Without labels of both
 kinds a category's probability is the share of positives (0 without labels). Repeated rows are
-scored alike, an empty table gives an empty result.
+scored alike, further columns have no effect and are carried along by ``without_toxic``, an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass, field
 
@@ -92,9 +95,6 @@ class Rows:
     lengths: np.ndarray
     dense: np.ndarray
 
-    def take(self, mask: np.ndarray) -> Rows:
-        return Rows(self.ids[np.repeat(mask, self.lengths)], self.lengths[mask], self.dense[mask])
-
     def scores(self, w: np.ndarray, v: np.ndarray, bias: float) -> np.ndarray:
         row = np.repeat(np.arange(len(self.lengths)), self.lengths)
         return np.bincount(row, w[self.ids], len(self.lengths)) + self.dense @ v + bias
@@ -136,8 +136,8 @@ class Chain:
 
     names: list[str]
     weights: dict[int, tuple[float, ...]]
-    shape_mean: list[float]
-    shape_scale: list[float]
+    shape_mean: list[list[float]]  # by category
+    shape_scale: list[list[float]]
     dense: list[list[float]]  # by category: shapes, then earlier categories' logits
     bias: list[float]
     held_out: dict[str, dict[str, float]] = field(default_factory=dict)
@@ -150,15 +150,15 @@ class Chain:
             if (w := get(f)) is not None:
                 for k in several:
                     total[k] += w[k]
-        shape = [
-            (x - m) / s
-            for x, m, s in zip(shapes_of(text, words), self.shape_mean, self.shape_scale)
-        ]
-        out: list[float] = []
+        shapes = shapes_of(text, words)
+        out, earlier = [], []
         for k in several:
-            seen = shape + [float(_logit(np.float64(p))) for p in out]
-            z = total[k] + sum(a * b for a, b in zip(seen, self.dense[k]))
-            out.append(float(_sigmoid(np.float64(z))))
+            seen = [(x - m) / s for x, m, s in zip(shapes, self.shape_mean[k], self.shape_scale[k])] + earlier
+            z = total[k] + sum([a * b for a, b in zip(seen, self.dense[k])])
+            p = 1 / (1 + math.exp(-min(max(z, -35.0), 35.0)))
+            out.append(p)
+            clipped = min(max(p, 1e-4), 1 - 1e-4)
+            earlier.append(math.log(clipped / (1 - clipped)))
         return out
 
 
@@ -190,26 +190,18 @@ def fit_chain(
     row = np.repeat(np.arange(n, dtype=np.int32), lengths)[held]
     ids, lengths = ids[held], np.bincount(row, minlength=n)
     del flat, held
-    keep = np.zeros(len(known), bool)
-    for y in labels.values():
-        have = ~np.isnan(y)
-        score = chi_square(ids[have[row]], lengths[have], y[have], len(known))
-        best = np.argsort(-score, kind="stable")[:TOP_FEATURES]
-        keep[best[score[best] >= MIN_CHI_SQUARE]] = True
-    number = np.cumsum(keep) - 1
-    used = keep[ids]
-    mean = shapes.mean(axis=0) if n else np.zeros(N_SHAPES)
-    scale = np.maximum(shapes.std(axis=0), 1e-6) if n else np.ones(N_SHAPES)
-    rows = Rows(number[ids[used]], np.bincount(row[used], minlength=n), (shapes - mean) / scale)
-    size, models, held_out = int(keep.sum()), [], {}
+    everything = np.ones(n, bool)
+    dense = np.empty((n, 0))  # earlier categories' out-of-fold logits
+    fitted, held_out = [], {}
     for name, y in labels.items():
         have = ~np.isnan(y)
         out_of_fold = np.zeros(n)
         for k in range(FOLDS):
-            train, test = have & (folds != k), folds == k
-            model = Linear.fit(rows.take(train), y[train], size)
-            out_of_fold[test] = _sigmoid(rows.take(test).scores(model.w, model.v, model.bias))
-        models.append(Linear.fit(rows.take(have), y[have], size))
+            # Features and scales of a fold's model come from the other folds' rows only.
+            test = folds == k
+            model = _Part.fit(row, ids, shapes, dense, y, have & ~test, len(known))
+            out_of_fold[test] = _sigmoid(model.scores(row, ids, shapes, dense, test))
+        fitted.append(_Part.fit(row, ids, shapes, dense, y, have & everything, len(known)))
         said = out_of_fold[have] >= THRESHOLD
         right = y[have] > 0
         held_out[name] = {
@@ -218,16 +210,52 @@ def fit_chain(
             "precision": float((said & right).sum() / max(said.sum(), 1)),
             "recall": float((said & right).sum() / max(right.sum(), 1)),
         }
-        rows = Rows(rows.ids, rows.lengths, np.column_stack([rows.dense, _logit(out_of_fold)]))
-    weights = {
-        int(f): tuple(float(m.w[i]) for m in models) for i, f in enumerate(known[keep])
-    }
+        dense = np.column_stack([dense, _logit(out_of_fold)])
+    weights: dict[int, list[float]] = {}
+    for k, part in enumerate(fitted):
+        for number, w in zip(np.flatnonzero(part.keep), part.model.w):
+            weights.setdefault(int(known[number]), [0.0] * len(fitted))[k] = float(w)
     return Chain(
-        list(labels), weights, mean.tolist(), scale.tolist(),
-        [m.v.tolist() for m in models], [m.bias for m in models], held_out,
+        list(labels), {f: tuple(w) for f, w in weights.items()}, [p.mean.tolist() for p in fitted],
+        [p.scale.tolist() for p in fitted], [p.model.v.tolist() for p in fitted], [p.model.bias for p in fitted], held_out,
     )
 
 
+@dataclass
+class _Part:
+    """One category's model with the features and scales that its training rows gave."""
+
+    keep: np.ndarray  # by feature number, whether it is used
+    mean: np.ndarray
+    scale: np.ndarray
+    model: Linear
+
+    @classmethod
+    def fit(cls, row, ids, shapes, dense, y, train, n_features: int) -> _Part:
+        """From the rows in ``train``; ``row`` and ``ids`` list each row's feature numbers."""
+        own = train[row]
+        lengths = np.bincount(row[own], minlength=len(train))[train]
+        score = chi_square(ids[own], lengths, y[train], n_features)
+        best = np.argsort(-score, kind="stable")[:TOP_FEATURES]
+        keep = np.zeros(n_features, bool)
+        keep[best[score[best] >= MIN_CHI_SQUARE]] = True
+        some = shapes[train]
+        mean = some.mean(axis=0) if len(some) else np.zeros(N_SHAPES)
+        scale = np.maximum(some.std(axis=0), 1e-6) if len(some) else np.ones(N_SHAPES)
+        part = cls(keep, mean, scale, None)
+        part.model = Linear.fit(part.rows(row, ids, shapes, dense, train), y[train], int(keep.sum()))
+        return part
+
+    def rows(self, row, ids, shapes, dense, which) -> Rows:
+        used = self.keep[ids] & which[row] if len(ids) else np.zeros(0, bool)
+        number = np.cumsum(self.keep) - 1
+        lengths = np.bincount(row[used], minlength=len(which))[which]
+        return Rows(number[ids[used]], lengths, np.column_stack([(shapes[which] - self.mean) / self.scale, dense[which]]))
+
+    def scores(self, row, ids, shapes, dense, which) -> np.ndarray:
+        return self.rows(row, ids, shapes, dense, which).scores(self.model.w, self.model.v, self.model.bias)
+
+
 def training_rows(
     docs: DataFrame, labels: DataFrame, categories: dict[str, str], n_docs: int = TRAIN_DOCS
 ) -> DataFrame:
@@ -247,28 +275,27 @@ def training_rows(
 
     def featurise(batches):
         for batch in batches:
-            packed, shapes = [], []
+            packed, shapes, folds = [], [], []
             for text in text_bytes(batch.column(1)):
                 words = words_of(text)
                 own = np.fromiter(features_of(words), np.uint32)
                 own.sort()
                 packed.append(own.tobytes())
+                folds.append(int(own[0]) % FOLDS if len(own) else 0)
                 shapes.append(list(shapes_of(text, words)))
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column(0),
                     "features": pa.array(packed, pa.binary()),
                     "shapes": pa.array(shapes, pa.list_(pa.float64())),
+                    "fold": pa.array(folds, pa.int32()),
                 }
             )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    made = map_arrow(texts, featurise, f"doc_id {id_type}, features binary, shapes array<double>")
-    once = made.groupBy("doc_id").agg(F.min(F.struct("features", "shapes")).alias("made"))
-    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
-    return once.join(F.broadcast(chosen), "doc_id").select(
-        "doc_id", fold, "made.features", "made.shapes", *names
-    )
+    made = map_arrow(texts, featurise, f"doc_id {id_type}, features binary, shapes array<double>, fold int")
+    once = made.groupBy("doc_id").agg(F.min(F.struct("features", "shapes", "fold")).alias("made"))
+    return once.join(F.broadcast(chosen), "doc_id").select("doc_id", "made.fold", "made.features", "made.shapes", *names)
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str]) -> Chain:
@@ -315,6 +342,6 @@ def without_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
     return map_arrow(docs, keep, docs.schema)
 
 
-def rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The query's rows: the documents that the chain rejects, with all probabilities."""
-    return score(docs, train(docs, labels, CATEGORIES)).filter("rejected")
+def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The query's rows: all documents with all probabilities, and whether they are rejected."""
+    return score(docs, train(docs, labels, CATEGORIES))
