@@ -325,7 +325,8 @@ HOT = 1000
 
 
 def _members(docs: DataFrame, limit: int) -> DataFrame:
-    """``doc_id, text_hash, fp, component_id`` of every row."""
+    """``doc_id, text_hash, fp, label, component_id`` of every row; ``label`` names the component by
+    its least fingerprint."""
     rows = stored(fingerprints(docs), "fingerprints")
     groups = stored(
         rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "groups"
@@ -334,11 +335,10 @@ def _members(docs: DataFrame, limit: int) -> DataFrame:
     # From labels, which name fingerprints, to the least document of each component.
     named = groups.join(labels, "fp", "left").select("fp", "least", "n", F.coalesce("label", "fp").alias("label"))
     heads = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_fp = stored(named.join(heads, "label").select("fp", "n", "component_id"), "named")
+    by_fp = stored(named.join(heads, "label").select("fp", "n", "label", "component_id"), "named")
     total = by_fp.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     is_hot = F.col("n") * HOT > F.lit(total)
-    hot = by_fp.filter(is_hot).select("fp", "component_id")
-    rest = by_fp.filter(~is_hot).select("fp", "component_id")
+    hot, rest = by_fp.filter(is_hot).drop("n"), by_fp.filter(~is_hot).drop("n")
     # No fingerprint that is joined by shuffle holds more than 1/HOT of the rows.
     frequent = rows.join(F.broadcast(hot), "fp")
     others = rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(rest, "fp")
@@ -357,10 +357,8 @@ def keep_first(docs: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     hash. Rows that repeat doc_id and text are one; if other columns differ, the row with the least
     hash over all columns stays. Rows whose doc_id is null stay as they are."""
     members = _members(docs.filter("doc_id is not null"), limit)
-    first = members.filter("doc_id = component_id").groupBy("doc_id", "component_id").agg(
-        F.min("text_hash").alias(HELPER)
-    )
-    first = first.select(F.col("doc_id").alias(HELPER + "_id"), HELPER).distinct()
+    first = members.filter("doc_id = component_id").groupBy("doc_id", "label").agg(F.min("text_hash").alias(HELPER))
+    first = first.select(F.col("doc_id").alias(HELPER + "_id"), HELPER)
     named = docs.select(text_hash().alias(HELPER), F.struct("*").alias(HELPER + "_row"))
     own = F.col(f"{HELPER}_row.doc_id")
     kept = named.join(first.withColumnRenamed(HELPER, HELPER + "_first"), (own == F.col(HELPER + "_id")) & (F.col(HELPER) == F.col(HELPER + "_first")))

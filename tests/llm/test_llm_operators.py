@@ -162,6 +162,14 @@ def test_common_lines_go(spark):
     assert all(got[k].kept and got[k].n_common_lines == 1 and got[k].n_common_words == 4 for k in range(60))
     assert not got[60].kept and not got[60].base_failed and not got[61].kept
     assert all("opyright" not in r.text for r in line_rules.cleaned(docs).collect())
+    # Lines that are joined by shuffle rather than by broadcast go as well.
+    columns = ["doc_id", "kept", "n_common_lines", "n_common_words"]
+    shuffled = line_rules.judge(docs, broadcast_lines=0).select(columns)
+    assert sorted(shuffled.collect()) == sorted(line_rules.judge(docs).select(columns).collect())
+    assert sorted(line_rules.cleaned(docs, broadcast_lines=0).collect()) == sorted(line_rules.cleaned(docs).collect())
+    # A line of all pages of a small host is common, one of a few pages isn't.
+    small = docs_of(spark, *(f"{own[k].translate(str.maketrans('123456789', 'abcdefghi'))}\nall pages have this line" + "\nthree pages have this one" * (k < 3) for k in range(20)))
+    assert {r.n_common_lines for r in line_rules.judge(small).collect()} == {1}
     # Exact copies count as one document.
     copies = docs_of(spark, *([own[0] + "\nline two of the copy"] * 80))
     assert all(r.kept for r in line_rules.judge(copies).collect())
@@ -363,11 +371,91 @@ def test_repeated_passages(spark):
     clean = [draw(120) for _ in range(60)]
     got = chunk_dedup.repeated_runs(docs_of(spark, *texts, *clean)).collect()
     assert {r.doc_id for r in got} == set(range(60))
-    assert {r.doc_id for r in got if r.is_first} <= set(range(20))
+    # A chunk at a passage's edge may be new in a later document; all else is first in the first one.
+    assert {r.doc_id for r in got if r.is_first and r.n_bytes >= chunk_dedup.MIN_RUN} <= set(range(20))
     cut = {r.doc_id: r.text for r in chunk_dedup.deduplicated(docs_of(spark, *texts, *clean)).collect()}
     assert all(cut[60 + k] == t for k, t in enumerate(clean)) and all(len(cut[k]) < len(texts[k]) for k in range(20, 60))
 
 
+def test_runs_against_all_chunks(spark):
+    """Brute force: every chunk's digest over all documents, in plain Python."""
+    rnd = random.Random(7)
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9))) for _ in range(3000)]
+    draw = lambda n: " ".join(rnd.choices(words, k=n))
+    shared = [draw(60) for _ in range(5)]
+    texts = [f"{draw(20)} {shared[k % 5]} {draw(10)} {shared[(k + 1) % 5]}" for k in range(20)] + [draw(50) + " " + draw(50)] * 2
+    chunks = {}
+    for k, t in enumerate(map(str.encode, texts)):
+        bounds = chunk_dedup.chunk_bounds([t])[0]
+        chunks[k] = [(a, b, t[a:b]) for a, b in zip(bounds, bounds[1:])]
+    first, owners = {}, {}
+    for k, own in chunks.items():
+        for a, _, c in own:
+            first.setdefault(c, (k, a))
+            owners.setdefault(c, set()).add(k)
+    want = set()
+    for k, own in chunks.items():
+        run = []
+        for a, b, c in [*own, (None, None, None)]:
+            if c is not None and len(owners[c]) > 1:
+                run.append((a, b, first[c] == (k, a)))
+                continue
+            if run and run[-1][1] - run[0][0] >= chunk_dedup.MIN_RUN:
+                part = [run[0]]
+                for x in run[1:]:
+                    if x[2] != part[-1][2]:
+                        want.add((k, part[0][0], part[-1][1], part[0][2]))
+                        part = []
+                    part.append(x)
+                want.add((k, part[0][0], part[-1][1], part[0][2]))
+            run = []
+    got = {(r.doc_id, r.start, r.end, r.is_first) for r in chunk_dedup.repeated_runs(docs_of(spark, *texts)).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_one_doc_id_with_several_texts(spark):
+    """Texts that share a doc_id keep what is theirs, and every text is rewritten at its own places."""
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9))) for _ in range(3000)]
+    draw = lambda n: " ".join(rnd.choices(words, k=n))
+    passage, alone, far = draw(80), draw(300), draw(90)
+    rows = [(1, passage + " " + draw(40)), (2, draw(30) + " " + passage), (2, alone), (3, far), (3, passage + " end"), (3, far)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = [(r.doc_id, r.text) for r in chunk_dedup.deduplicated(docs).collect()]
+    assert len(cut) == 6 and (2, alone) in cut and cut.count((3, far)) == 2 and rows[0] in cut
+    assert sum(passage in t for _, t in cut) == 1
+    kept = sorted((r.doc_id, r.text) for r in simhash.keep_first(docs.union(docs)).collect())
+    assert (2, alone) in kept and (3, far) in kept and len(kept) == len(set(kept))
+    lines = spark.createDataFrame([(1, draw(20), "a"), (1, draw(30), "a"), (1, "x", "a")], "doc_id long, text string, source string")
+    assert line_rules.cleaned(lines).count() == 2
+
+
+def test_helper_names_as_further_columns(spark):
+    """Columns named like any column that operators make on the way."""
+    names = "doc txt on common host text_hash lines h of _of _spans spans fp least label n quad bytes word row run part own begins changes long id level marked all hash size first".split()
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(k, text.replace("word7 ", f"w{k} "), "s", *names) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    items = spark.createDataFrame([(1, "nothing of this is in any text at all here")], "item_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels, toxicity.CATEGORIES)
+    for out, n in (
+        (chunk_dedup.deduplicated(docs), 3), (line_rules.cleaned(docs), 3), (simhash.keep_first(docs), None),
+        (decontaminate.without_benchmark(docs, items), 3), (toxicity.without_toxic(docs, chain), 3),
+        (secrets.redact(docs, secrets.train(None, secrets.drawn_samples(20))), 3),
+    ):
+        found = out.collect()
+        assert out.dtypes == docs.dtypes and all(r[x] == x for r in found for x in names)
+        assert n is None or len(found) == n
+    for out in (
+        simhash.near_duplicates(docs), chunk_dedup.repeated_runs(docs), line_rules.verdicts(docs), lattice_lm.score_documents(docs),
+        bpe.encode_digests(docs), token_counts.length_histogram(docs), decontaminate.contaminated(docs, items), toxicity.score(docs, chain),
+    ):
+        out.collect()
+    turns = spark.createDataFrame([(None, 1, "a", "x", 1), (None, 2, "b", "y", 1)], "conv_id long, turn long, role string, text string, said int")
+    assert chat.rotate(turns).count() == 2
+
+
 # ---------------------------------------------------------------- 9
 
 
