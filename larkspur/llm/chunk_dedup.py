@@ -8,9 +8,9 @@ Chunks are compared by 128-bit digests over all documents.
 
 A digest that occurs in two documents or more is a repeat; what only one document repeats isn't.
 Neighbouring repeated chunks of a document form a run, and runs of at least ``MIN_RUN`` bytes are
-reported: a shorter one may be a chance agreement of common words. The first occurrence of a chunk
-(least doc_id, then text, then place) is the one to keep: a run is reported in parts where first
-and later occurrences change, and ``is_first`` tells which a part is.
+reported: a shorter one may be a chance agreement of common words. A chunk is kept in the document
+with the least doc_id, wherever it stands there: a run is reported in parts where first and later
+documents change, and ``is_first`` tells which a part is.
 
 All chunks are compared; a digest in a third of all documents is counted before the shuffle, and
 its occurrences are joined by a join that Spark may split. Null and empty texts have no chunks.
@@ -126,13 +126,12 @@ def _parts(docs: DataFrame, min_run: int) -> DataFrame:
     every = chunks(docs)
     known = (
         every.groupBy("high", "low")
-        .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(F.struct("doc_id", "text_hash", "start")).alias("first"))
-        .filter("least <> most")
-        .select("high", "low", "first")
+        .agg(F.min("doc_id").alias("of"), F.max("doc_id").alias("last"))
+        .filter("of <> last")
+        .drop("last")
     )
     met = every.join(known, ["high", "low"]).select(
-        "doc_id", "text_hash", "start", (F.col("start") + F.col("size")).alias("end"), F.col("first.doc_id").alias("of"),
-        (F.struct("doc_id", "text_hash", "start") == F.col("first")).alias("own"),
+        "doc_id", "text_hash", "start", (F.col("start") + F.col("size")).alias("end"), "of", (F.col("doc_id") == F.col("of")).alias("own")
     ).distinct()
     order = Window.partitionBy("doc_id", "text_hash").orderBy("start")
     begins = F.coalesce(F.col("start") != F.lag("end").over(order), F.lit(True))

@@ -390,15 +390,15 @@ def test_runs_against_all_chunks(spark):
         chunks[k] = [(a, b, t[a:b]) for a, b in zip(bounds, bounds[1:])]
     first, owners = {}, {}
     for k, own in chunks.items():
-        for a, _, c in own:
-            first.setdefault(c, (k, a))
+        for _, _, c in own:
+            first.setdefault(c, k)
             owners.setdefault(c, set()).add(k)
     want = set()
     for k, own in chunks.items():
         run = []
         for a, b, c in [*own, (None, None, None)]:
             if c is not None and len(owners[c]) > 1:
-                run.append((a, b, first[c] == (k, a)))
+                run.append((a, b, first[c] == k))
                 continue
             if run and run[-1][1] - run[0][0] >= chunk_dedup.MIN_RUN:
                 part = [run[0]]
