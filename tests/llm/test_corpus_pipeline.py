@@ -1,27 +1,93 @@
 """The pipeline's stages, and its rows against a plain version of each stage."""
 
+import random
+from collections import Counter
+from itertools import combinations
+
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
 from larkspur.llm import bpe, decontaminate, secrets, simhash, toxicity
 
 
+def shingles(text: str) -> set:
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar_pairs(texts: dict[int, str]) -> list[tuple[int, int]]:
+    """All pairs that share 0.8 of their 5-word shingles."""
+    sets, holders = {k: shingles(t) for k, t in texts.items()}, {}
+    for k, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    common = Counter(pair for ks in holders.values() for pair in combinations(ks, 2))
+    pairs = [(a, b) for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    empty = [k for k, s in sets.items() if not s]
+    return pairs + list(zip(empty, empty[1:]))
+
+
+def first_of_groups(texts: dict[int, str]) -> set[int]:
+    root = {k: k for k in texts}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in similar_pairs(texts):
+        x, y = top(a), top(b)
+        root[max(x, y)] = min(x, y)
+    return {k for k in texts if root[k] == k}
+
+
+def test_near_copies_against_all_pairs(spark, sf_dir):
+    """What goes is similar to what stays, by links of brute force, and nine of ten near copies go."""
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rnd = random.Random(4)
+    for k in range(0, 120, 3):  # copies with a few words changed
+        words = texts[k].split()
+        for _ in range(max(1, len(words) // 60)):
+            words[rnd.randrange(len(words))] = "other"
+        texts[10_000 + k] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one_copy(docs).collect()}
+    must = first_of_groups(texts)
+    assert must <= kept
+    gone = texts.keys() - must
+    assert len(gone) > 100 and len(gone - kept) >= 0.9 * len(gone)
+    near = [b for a, b in similar_pairs(texts) if texts[a].lower().split() != texts[b].lower().split()]
+    assert sum(k not in kept for k in set(near)) >= 0.9 * len(set(near))
+
+
+def test_odd_inputs_through_all_stages(spark, sf_dir, tmp_path):
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    text = "an old man walked along the quiet river with his small dog every single day"
+    rows = [(1, text), (1, text), (1, "another text with this doc_id, password = abcdef123"), (2, None), (3, ""), (None, text), (4, "x" * 200_000)]
+    rows = [(k, t, "en", "s", 0, "f", "n", 1) for k, t in rows]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, fp string, norm string, label long"
+    docs = spark.createDataFrame(rows, kind)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens > 0) for r in pipeline.run(spark, str(tmp_path)).collect())
+    # Null and empty texts are copies of each other; rows without doc_id stay.
+    assert got == [(False, 1, True), (False, 1, True), (False, 2, False), (False, 4, True), (True, 0, True)]
+    for name, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).dtypes == docs.dtypes
+    empty = tmp_path / "empty"
+    for name in ("benchmark", "labels", "documents"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).limit(0).write.parquet(str(empty / f"{name}.parquet"))
+    assert pipeline.run(spark, str(empty)).count() == 0
+
+
 def test_rows_against_a_plain_version(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}
     chain = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity.CATEGORIES)
     rows = {k: t for k, t in rows.items() if chain.probabilities(t.encode())[-1] < toxicity.THRESHOLD}
-    prints = dict(zip(rows, simhash.simhash([t.encode() for t in rows.values()]).tolist()))
-    gone = set()
-    for a in rows:
-        near, todo = {a}, [a]
-        while todo:
-            x = todo.pop()
-            more = {b for b in rows if b not in near and (prints[x] ^ prints[b]).bit_count() <= 4}
-            near |= more
-            todo += more
-        gone |= near - {min(near)}
-    rows = {k: t for k, t in rows.items() if k not in gone}
+    rows = {k: rows[k] for k in first_of_groups(rows)}
     items = [" ".join(r.text.split()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     rows = {k: t for k, t in rows.items() if not any(i in " ".join(t.split()) for i in items)}
     library = Tokenizer.from_file(bpe.default_tokenizer())
