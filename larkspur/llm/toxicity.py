@@ -162,13 +162,21 @@ class Chain:
         return out
 
 
-def chi_square(ids: np.ndarray, lengths: np.ndarray, y: np.ndarray, n_features: int) -> np.ndarray:
-    """Of each feature's presence against ``y``."""
-    n, positives = len(y), y.sum()
-    row = np.repeat(np.arange(n), lengths)
-    seen = np.bincount(ids, minlength=n_features).astype(float)
-    both = np.bincount(ids, y[row], n_features)
-    expected = seen * positives / max(n, 1)
+#: Entries of the driver's long arrays that are worked on at once.
+_BLOCK = 1 << 19
+
+
+def chi_square(row: np.ndarray, ids: np.ndarray, y: np.ndarray, train: np.ndarray, n_features: int) -> np.ndarray:
+    """Of each feature's presence against ``y`` over the rows in ``train``."""
+    n, positives = int(train.sum()), y[train].sum()
+    seen, both = np.zeros(n_features), np.zeros(n_features)
+    for i in range(0, len(ids), _BLOCK):
+        of = row[i : i + _BLOCK]
+        own = train[of]
+        part = ids[i : i + _BLOCK][own]
+        seen += np.bincount(part, minlength=n_features)
+        both += np.bincount(part, y[of[own]], n_features)
+    expected = seen * (positives / max(n, 1))
     spread = expected * (1 - positives / max(n, 1)) * (1 - seen / max(n, 1))
     return (both - expected) ** 2 / np.maximum(spread, 1e-9)
 
@@ -176,20 +184,29 @@ def chi_square(ids: np.ndarray, lengths: np.ndarray, y: np.ndarray, n_features:
 def fit_chain(
     features: list[np.ndarray], shapes: np.ndarray, folds: np.ndarray, labels: dict[str, np.ndarray]
 ) -> Chain:
-    """``features``: by row, CRC-32 numbers; ``labels``: by category, 0, 1 or NaN for each row."""
+    """``features``: by row, CRC-32 numbers, a list that is emptied; ``labels``: by category, 0, 1 or
+    NaN for each row."""
     n = len(features)
     lengths = np.array([len(x) for x in features], np.int64)
     flat = np.concatenate(features) if n else np.empty(0, np.uint32)
-    known, seen = np.unique(flat, return_counts=True)
-    known = known[seen >= MIN_DOCS]
-    ids = np.empty(len(flat), np.int32)
-    for i in range(0, len(flat), 1 << 20):
-        ids[i : i + (1 << 20)] = np.searchsorted(known, flat[i : i + (1 << 20)])
-    ids = np.minimum(ids, max(len(known) - 1, 0))
-    held = known[ids] == flat if len(known) else np.zeros(len(flat), bool)
-    row = np.repeat(np.arange(n, dtype=np.int32), lengths)[held]
-    ids, lengths = ids[held], np.bincount(row, minlength=n)
-    del flat, held
+    features.clear()
+    ordered = np.sort(flat)
+    # Of sorted numbers, those that stand MIN_DOCS times in a row.
+    often = ordered[MIN_DOCS - 1 :][ordered[MIN_DOCS - 1 :] == ordered[: max(len(ordered) - MIN_DOCS + 1, 0)]]
+    known = often[np.flatnonzero(np.diff(often, prepend=often[:1] - 1))] if len(often) else often
+    del ordered, often
+    # Rows and feature numbers of what is known, block by block in place of a copy.
+    row = np.repeat(np.arange(n, dtype=np.int32), lengths)
+    ids, end = np.empty(len(flat), np.int32), 0
+    for i in range(0, len(flat) if len(known) else 0, _BLOCK):
+        part = flat[i : i + _BLOCK]
+        number = np.minimum(np.searchsorted(known, part), len(known) - 1)
+        held = known[number] == part
+        m = int(held.sum())
+        ids[end : end + m], row[end : end + m] = number[held], row[i : i + _BLOCK][held]
+        end += m
+    del flat
+    ids, row = ids[:end], row[:end]
     everything = np.ones(n, bool)
     dense = np.empty((n, 0))  # earlier categories' out-of-fold logits
     fitted, held_out = [], {}
@@ -233,9 +250,7 @@ class _Part:
     @classmethod
     def fit(cls, row, ids, shapes, dense, y, train, n_features: int) -> _Part:
         """From the rows in ``train``; ``row`` and ``ids`` list each row's feature numbers."""
-        own = train[row]
-        lengths = np.bincount(row[own], minlength=len(train))[train]
-        score = chi_square(ids[own], lengths, y[train], n_features)
+        score = chi_square(row, ids, y, train, n_features)
         best = np.argsort(-score, kind="stable")[:TOP_FEATURES]
         keep = np.zeros(n_features, bool)
         keep[best[score[best] >= MIN_CHI_SQUARE]] = True
@@ -247,10 +262,14 @@ class _Part:
         return part
 
     def rows(self, row, ids, shapes, dense, which) -> Rows:
-        used = self.keep[ids] & which[row] if len(ids) else np.zeros(0, bool)
+        found = []
+        for i in range(0, len(ids), _BLOCK):
+            used = self.keep[ids[i : i + _BLOCK]] & which[row[i : i + _BLOCK]]
+            found.append((row[i : i + _BLOCK][used], ids[i : i + _BLOCK][used]))
+        of, own = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int32) for k in (0, 1))
         number = np.cumsum(self.keep) - 1
-        lengths = np.bincount(row[used], minlength=len(which))[which]
-        return Rows(number[ids[used]], lengths, np.column_stack([(shapes[which] - self.mean) / self.scale, dense[which]]))
+        lengths = np.bincount(of, minlength=len(which))[which]
+        return Rows(number[own], lengths, np.column_stack([(shapes[which] - self.mean) / self.scale, dense[which]]))
 
     def scores(self, row, ids, shapes, dense, which) -> np.ndarray:
         return self.rows(row, ids, shapes, dense, which).scores(self.model.w, self.model.v, self.model.bias)
@@ -301,12 +320,11 @@ def training_rows(
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str]) -> Chain:
     """Fit the chain on the labelled documents."""
     rows = training_rows(docs, labels, categories).orderBy("doc_id").toArrow()
-    return fit_chain(
-        [np.frombuffer(x, np.uint32) for x in rows["features"].to_pylist()],
-        np.array(rows["shapes"].to_pylist(), float).reshape(-1, N_SHAPES),
-        rows["fold"].to_numpy(),
-        {n: rows[n].to_numpy().astype(float) for n in categories},
-    )
+    features = [np.frombuffer(x, np.uint32) for x in rows["features"].to_pylist()]
+    shapes = np.array(rows["shapes"].to_pylist(), float).reshape(-1, N_SHAPES)
+    folds, marks = rows["fold"].to_numpy(), {n: rows[n].to_numpy().astype(float) for n in categories}
+    del rows
+    return fit_chain(features, shapes, folds, marks)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
