@@ -12,7 +12,8 @@ positions are code points from the start of the chunk's text, ends exclusive.
 Order: by turn number, then role, then text, so ties and repeated rows have a defined order and
 all appear. Turns without a number come last, in chunk -1. A null or empty role is the speaker
 ``unknown``; null texts are empty. A conversation of system turns only has no participant and no
-row; a null conv_id is a conversation of its own. An empty table gives an empty result.
+row; a null conv_id is a conversation of its own. Marks inside a text are not escaped. Further
+columns have no effect. An empty table gives an empty result.
 """
 
 from __future__ import annotations

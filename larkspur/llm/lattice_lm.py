@@ -17,7 +17,8 @@ the table of scores. No word is frequent in that shuffle.
 Words are runs of characters other than space and tab to carriage return, A to Z lower-cased. Null
 and empty texts are just an end. A document is held out if CRC-32 of its doc_id as text is a
 multiple of 10, a null doc_id being the empty text. Repeated rows are scored and learnt from each
-time. An empty table gives an empty result; without training documents all words are unknown.
+time. Further columns have no effect. An empty table gives an empty result; without training
+documents all words are unknown.
 """
 
 from __future__ import annotations
