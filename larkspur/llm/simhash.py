@@ -31,7 +31,6 @@ have no effect; ``keep_first`` carries them along. An empty table gives an empty
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -182,48 +181,47 @@ def masks(shared: int) -> list[int]:
     return [int(np.bitwise_or.reduce(_BYTES[list(c)]).view(np.int64)) for c in combinations(range(8), shared)]
 
 
-def postings(distinct: DataFrame, shared: int = SHARED) -> DataFrame:
-    """``quad, bytes, fp``: what the inverted index holds of each distinct fingerprint, by ``shared``
-    positions; ``quad`` numbers the choice of them."""
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def postings(rows: DataFrame, shared: int = SHARED) -> DataFrame:
+    """``quad, bytes`` and the columns of ``rows``: what the inverted index holds of each row's
+    fingerprint ``fp``, by ``shared`` positions; ``quad`` numbers the choice of them."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = F.array(*(F.col("fp").bitwiseAND(F.lit(mask)) for mask in masks(shared)))
-    return distinct.select("fp").repartition(n, "fp").select(F.posexplode(keys).alias("quad", "bytes"), "fp")
+    return rows.repartition(n, "fp").select(F.posexplode(keys).alias("quad", "bytes"), *rows.columns)
 
 
 def shared_lists(index: DataFrame) -> DataFrame:
-    """The postings of lists with two fingerprints or more, list by list in each partition."""
+    """The postings of lists with two members or more, list by list in each partition."""
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = Window.partitionBy("quad", "bytes").orderBy("fp")
+    own = Window.partitionBy("quad", "bytes").orderBy(*index.columns[2:])
     near = index.repartition(n, "quad", "bytes").select(
-        "quad", "bytes", "fp", F.lag("fp").over(own).alias("before"), F.lead("fp").over(own).alias("after")
+        "*", F.lag("fp").over(own).alias("before"), F.lead("fp").over(own).alias("after")
     )
     kept = near.filter("before is not null or after is not null")
-    return kept.select("quad", "bytes", "fp").sortWithinPartitions("quad", "bytes", "fp")
+    return kept.select(index.columns).sortWithinPartitions(*index.columns)
 
 
-def spanning_links(fps: np.ndarray, max_bits: int = MAX_BITS, shared: int = SHARED) -> tuple[list[tuple[int, int]], int]:
-    """Links that connect whatever links of at most ``max_bits`` connect among ``fps``, the nearest
-    first, and how many pairs were verified: those whose tally of equal bytes reaches ``shared``."""
+def _equal_bytes(differ: np.ndarray) -> np.ndarray:
+    """How many of the 8 bytes are zero in each of ``differ``."""
+    return (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+
+
+def spanning_links(fps: np.ndarray) -> tuple[list[tuple[int, int]], int]:
+    """Links that connect whatever links of at most ``MAX_BITS`` connect among ``fps``, and how many
+    pairs were verified: those whose tally of equal bytes reaches ``SHARED``."""
     bits, root = fps.view(np.uint64), np.arange(len(fps))
     out, verified = [], 0
-    # A pair of two takes one look; in larger lists nearer links come first.
-    steps = [max_bits] if len(fps) == 2 or max_bits <= MAX_BITS else [*range(2, max_bits, 2), max_bits]
-    for step in steps:
-        for k in range(len(fps) - 1):
-            differ = bits[k + 1 :] ^ bits[k]
-            tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            near = np.flatnonzero(tally >= shared)
-            verified += len(near)
-            near = near[np.bitwise_count(differ[near]) <= step] + k + 1
-            while len(near := near[root[near] != root[k]]):
-                out.append((int(fps[k]), int(fps[near[0]])))
-                root[root == root[near[0]]] = root[k]
+    for k in range(len(fps) - 1):
+        differ = bits[k + 1 :] ^ bits[k]
+        near = np.flatnonzero(_equal_bytes(differ) >= SHARED)
+        verified += len(near)
+        near = near[np.bitwise_count(differ[near]) <= MAX_BITS] + k + 1
+        while len(near := near[root[near] != root[k]]):
+            out.append((int(fps[k]), int(fps[near[0]])))
+            root[root == root[near[0]]] = root[k]
     return out, verified
 
 
-def list_links(
-    index: DataFrame, limit: int = LIST_LIMIT, max_bits: int = MAX_BITS, shared: int = SHARED
-) -> DataFrame:
+def list_links(index: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     """``a, b`` for links inside posting lists; ``b`` is null where ``a`` is of a dense list.
 
     A task reads its lists in order and holds ``limit`` fingerprints at most.
@@ -236,7 +234,7 @@ def list_links(
 
         def close() -> None:
             if not dense and len(held) > 1:
-                for a, b in spanning_links(np.array(held, np.int64), max_bits, shared)[0]:
+                for a, b in spanning_links(np.array(held, np.int64))[0]:
                     left.append(a)
                     right.append(b)
 
@@ -328,12 +326,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def links_of(
-    distinct: DataFrame, limit: int = LIST_LIMIT, max_bits: int = MAX_BITS, shared: int = SHARED
-) -> DataFrame:
-    """``a, b``: links that connect all distinct fingerprints ``fp`` within ``max_bits`` of each other
-    which share ``shared`` bytes; in dense lists, those within 4 bits."""
-    found = stored(list_links(postings(distinct, shared), limit, max_bits, shared), "lists")
+def links_of(distinct: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+    """``a, b``: links that connect all distinct fingerprints ``fp`` within ``MAX_BITS`` of each other."""
+    found = stored(list_links(postings(distinct.select("fp")), limit), "lists")
     near = found.filter("b is not null")
     dense = found.filter("b is null").select("a").distinct()
     if dense.isEmpty():
@@ -396,28 +391,133 @@ def _rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 #: Near copies share this much of their distinct shingles of so many words.
 COPY_WORDS, SIMILARITY = 5, 0.8
-#: Their candidates' fingerprints are of distinct shingles of so many words, share so many bytes in
-#: the same positions and differ in so many bits at most.
-FEATURE_WORDS, COPY_SHARED, COPY_BITS = 2, 3, 12
-#: Seeds of as many fingerprints; what one misses another finds.
-COPY_SEEDS = (42, 43)
+#: Their candidates have two fingerprints of distinct shingles of so many words, by two seeds.
+FEATURE_WORDS, COPY_SEEDS = 2, (42, 43)
+#: One of the two shares so many bytes in the same positions and differs in so many bits at most,
+#: the other in so many.
+COPY_SHARED, COPY_BITS, OTHER_BITS = 3, 12, 16
 #: Texts to verify that are looked up by broadcast, 16 bytes each, at most.
 BROADCAST_TEXTS = 1_000_000
 
 
+def _bits_apart(fp: np.ndarray, other: np.ndarray, fps: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """In how many bits both fingerprints differ from ``fps`` and ``others``; 255 for no candidates."""
+    differ = fp ^ fps
+    own, more = np.bitwise_count(differ), np.bitwise_count(other ^ others)
+    fits = (_equal_bytes(differ) >= COPY_SHARED) & (own <= COPY_BITS) & (more <= OTHER_BITS)
+    return np.where(fits, own + more, 255)
+
+
+def candidate_forest(fps: np.ndarray, others: np.ndarray) -> list[tuple[int, int]]:
+    """Links, by place, that connect whatever the candidates among the members connect; near links
+    come before far ones, so these are what is verified."""
+    root, out = np.arange(len(fps)), []
+    for step in (4, 12, 20, COPY_BITS + OTHER_BITS):
+        for k in range(len(fps) - 1):
+            if (root[k + 1 :] == root[k]).all():
+                continue
+            near = np.flatnonzero(_bits_apart(fps[k], others[k], fps[k + 1 :], others[k + 1 :]) <= step) + k + 1
+            while len(near := near[root[near] != root[k]]):
+                out.append((k, int(near[0])))
+                root[root == root[near[0]]] = root[k]
+        if (root == root[0]).all():
+            break
+    return out
+
+
+def _links_in(lists: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """``a, b, quad, bytes, fp, other, block``: the links of each list (``keys, fp, other, norm``, in
+    order), ``block`` being null; and the members ``a`` of lists of over ``limit``, in blocks of so
+    many. A task holds ``limit`` members at most."""
+
+    def link(batches):
+        key, held, n, seen, dense = None, [], 0, 0, False
+        links: list[np.ndarray] = []
+        blocks: list[np.ndarray] = []
+
+        def close() -> None:
+            if not dense and n > 1:
+                fps, others, norms = np.concatenate(held, axis=1)
+                for a, b in candidate_forest(fps.view(np.uint64), others.view(np.uint64)):
+                    links.append(norms[[a, b]][:, None])
+
+        def flush():
+            a, b = np.concatenate([np.empty((2, 0), np.int64), *links], axis=1)
+            yield made([pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.int64())] * 5])
+            norms, *rest = np.concatenate([np.empty((6, 0), np.int64), *blocks], axis=1)
+            yield made([pa.array(norms), pa.nulls(len(norms), pa.int64()), *map(pa.array, rest)])
+            links.clear()
+            blocks.clear()
+
+        def made(columns: list[pa.Array]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "quad", "bytes", "fp", "other", "block"])
+
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            own, rows = np.stack(columns[: len(keys)]), np.stack(columns[len(keys) :])
+            cuts = np.flatnonzero((own[:, 1:] != own[:, :-1]).any(axis=0)) + 1
+            bounds = np.array([0, *cuts, batch.num_rows])
+            # Lists of two that lie within the batch, all at once.
+            pairs = np.flatnonzero(np.diff(bounds) == 2)
+            pairs = bounds[pairs[(pairs > 0) & (pairs < len(bounds) - 2)]]
+            first, second = rows[:, pairs], rows[:, pairs + 1]
+            bits = [x.view(np.uint64) for x in (first[0], first[1], second[0], second[1])]
+            near = _bits_apart(*bits) < 255
+            links.append(np.stack([first[2, near], second[2, near]]))
+            done = set(pairs.tolist())
+            for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if i in done:
+                    continue
+                if (this := tuple(own[:, i].tolist())) != key:
+                    close()
+                    key, held, n, seen, dense = this, [], 0, 0, False
+                held.append(rows[:, i:j])
+                n += j - i
+                dense = dense or n > limit
+                if dense:
+                    fps, others, norms = np.concatenate(held, axis=1)
+                    place = (seen + np.arange(len(norms))) // limit
+                    quad, kept = (np.full(len(norms), x) for x in key[:2])
+                    blocks.append(np.stack([norms, quad, kept, fps, others, place]))
+                    seen, held = seen + len(norms), []
+            yield from flush()
+        close()
+        yield from flush()
+
+    schema = "a long, b long, quad long, bytes long, fp long, other long, block long"
+    return map_arrow(lists.select(*keys, "fp", "other", "norm"), link, schema, 8192)
+
+
+def candidates(nodes: DataFrame, seed: int, limit: int = LIST_LIMIT) -> DataFrame:
+    """``a, b``: links that connect the candidates among ``nodes`` (``norm, fps``) whose fingerprint
+    of number ``seed`` meets in the index.
+
+    Both fingerprints are compared in a list, so that members which share bytes by chance don't
+    link, however large the input. Lists of over ``limit`` members are cut into blocks of so many,
+    and each two blocks are compared in a task's turn: all pairs are, and none but links leave.
+    """
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = nodes.select(F.col("fps")[seed].alias("fp"), F.col("fps")[1 - seed].alias("other"), "norm")
+    found = stored(_links_in(shared_lists(postings(own, COPY_SHARED)), ["quad", "bytes"], limit), "lists")
+    links = found.filter("block is null").select("a", "b")
+    dense = found.filter("block is not null").drop("b").withColumnRenamed("a", "norm")
+    if dense.isEmpty():
+        return links
+    last = dense.groupBy("quad", "bytes").agg(F.max("block").alias("last"))
+    each = dense.join(last, ["quad", "bytes"]).withColumn("with", F.explode(F.sequence(F.lit(0), "last")))
+    cells = each.select(
+        "quad", "bytes", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "fp", "other", "norm"
+    )
+    keys = ["quad", "bytes", "low", "high"]
+    dealt = cells.repartition(n, *keys).sortWithinPartitions(*keys, "fp", "norm")
+    return links.union(stored(_links_in(dealt, keys, 2 * limit), "cells").select("a", "b"))
+
+
 def copy_links(docs: DataFrame, nodes: DataFrame, limit: int = LIST_LIMIT, similarity: float = SIMILARITY) -> DataFrame:
-    """``a, b``: verified links between ``nodes`` (``norm, fps, head``): the candidates by any of the
-    fingerprints whose 5-word shingles, read from the texts of ``docs``, are similar enough."""
-    candidates = []
-    for k in range(len(COPY_SEEDS)):
-        own = nodes.select("norm", F.col("fps")[k].alias("fp"))
-        heads = stored(own.groupBy("fp").agg(F.min("norm").alias("first")), "heads")
-        links = links_of(heads, limit, COPY_BITS, COPY_SHARED)
-        candidates.append(links.join(heads.toDF("a", "u"), "a").join(heads.toDF("b", "v"), "b").select("u", "v"))
-        # Texts with one fingerprint are candidates as well.
-        candidates.append(own.join(heads, "fp").select(F.col("norm").alias("u"), F.col("first").alias("v")))
-    ordered = reduce(DataFrame.union, candidates).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    pairs = stored(ordered.filter("u <> v").distinct(), "pairs")
+    """``a, b``: verified links between ``nodes`` (``norm, fps, head``): the candidates by either
+    fingerprint whose 5-word shingles, read from the texts of ``docs``, are similar enough."""
+    links = candidates(nodes, 0, limit).union(candidates(nodes, 1, limit))
+    pairs = stored(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("norm")).distinct().join(nodes, "norm")
     wanted = stored(wanted.select("norm", "head.doc_id", "head.text_hash"), "wanted")
     few = wanted.count() <= BROADCAST_TEXTS
@@ -451,9 +551,10 @@ def keep_one_copy(docs: DataFrame, limit: int = LIST_LIMIT, similarity: float =
     ``similarity`` of their 5-word shingles; groups are what such links connect.
 
     Candidates come from the same index with other parameters: two fingerprints of distinct
-    two-word shingles, which stay near where 5-word shingles of similar texts already differ, three
-    shared bytes and 12 bits. That isn't exact: of pairs with a similarity of 0.8 it misses some (see the
-    README); what it links is verified. Rows without doc_id stay as they are.
+    two-word shingles, which stay near where 5-word shingles of similar texts already differ; three
+    shared bytes and 12 bits in one, 16 bits in the other. That isn't exact: of pairs with a similarity
+    of 0.8 it misses some (see the README); what it links is verified. It is the same for lists of all
+    lengths. Rows without doc_id stay as they are.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 

@@ -62,6 +62,35 @@ def test_near_copies_against_all_pairs(spark, sf_dir):
     assert sum(k not in kept for k in set(near)) >= 0.9 * len(set(near))
 
 
+def test_candidates_in_lists_of_all_lengths(spark):
+    """Blocks of long lists connect what all pairs by the candidates' rule connect, and no more."""
+    rnd = random.Random(5)
+    flip = lambda x, n: x ^ sum(1 << k for k in rnd.sample(range(64), n))
+    seeds = [(rnd.getrandbits(64), rnd.getrandbits(64)) for _ in range(4)]
+    pairs = [(flip(x, rnd.randint(0, 6)), flip(y, rnd.randint(0, 9))) for x, y in seeds for _ in range(12)]
+    pairs += [(seeds[0][0], rnd.getrandbits(64)) for _ in range(9)]  # near in one fingerprint only
+
+    def linked(a, b) -> bool:
+        differ, other = a[0] ^ b[0], (a[1] ^ b[1]).bit_count()
+        tally = sum((differ >> (8 * k)) & 255 == 0 for k in range(8))
+        return tally >= simhash.COPY_SHARED and differ.bit_count() <= simhash.COPY_BITS and other <= simhash.OTHER_BITS
+
+    def groups(links) -> list[int]:
+        least = list(range(len(pairs)))
+        for _ in pairs:
+            for a, b in links:
+                least[a] = least[b] = min(least[a], least[b])
+        return least
+
+    wanted = groups([(a, b) for a in range(len(pairs)) for b in range(a) if linked(pairs[a], pairs[b])])
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    nodes = spark.createDataFrame([(k, [signed(x), signed(y)]) for k, (x, y) in enumerate(pairs)], "norm long, fps array<long>")
+    for limit in (2, 5, 2048):
+        got = [(r.a, r.b) for r in simhash.candidates(nodes, 0, limit).collect()]
+        assert all(linked(pairs[a], pairs[b]) for a, b in got)
+        assert groups(got) == wanted and len(set(wanted)) < 30
+
+
 def test_odd_inputs_through_all_stages(spark, sf_dir, tmp_path):
     for name in ("benchmark", "labels"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
