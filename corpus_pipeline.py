@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the least doc_id: candidates by SimHash,
-    verified by their 5-word shingles."""
+    """One document of each group of near copies, that with the least doc_id: candidates by SimHash
+    and, for what they don't connect, by first shingles; verified by their 5-word shingles."""
     return simhash.keep_one_copy(docs)
 
 

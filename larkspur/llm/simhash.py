@@ -513,31 +513,256 @@ def candidates(nodes: DataFrame, seed: int, limit: int = LIST_LIMIT) -> DataFram
     return links.union(stored(_links_in(dealt, keys, 2 * limit), "cells").select("a", "b"))
 
 
-def copy_links(docs: DataFrame, nodes: DataFrame, limit: int = LIST_LIMIT, similarity: float = SIMILARITY) -> DataFrame:
-    """``a, b``: verified links between ``nodes`` (``norm, fps, head``): the candidates by either
-    fingerprint whose 5-word shingles, read from the texts of ``docs``, are similar enough."""
-    links = candidates(nodes, 0, limit).union(candidates(nodes, 1, limit))
-    pairs = stored(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "pairs")
+#: Bits of a set's signature, and counters of all sets' shingles: the latter only order them.
+SIGNATURE_BITS, COUNTERS = 512, 1 << 18
+#: Counters travel in so many parts.
+_PARTS = 64
+
+
+def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``owner, shingle``: the distinct 5-word shingles of texts, as 64-bit hashes of their words'
+    hashes, and the place of the text that has them. Fewer words are one shingle, none have none."""
+    words = [b" ".join(text.lower().split()) for text in texts]
+    full = [k for k, text in enumerate(words) if text]
+    if not full:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    data = b" ".join(words[k] for k in full) + b" "
+    spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    begins = np.concatenate(([0], spaces[:-1] + 1))
+    each = xxh64_spans(data, begins, spaces)
+    upto = np.searchsorted(spaces, np.cumsum([len(words[k]) + 1 for k in full]) - 1) + 1
+    n_words = np.diff(upto, prepend=0)
+    n_shingles = np.maximum(n_words - COPY_WORDS + 1, 1)
+    offset = np.arange(n_shingles.sum()) - np.repeat(np.cumsum(n_shingles) - n_shingles, n_shingles)
+    begin = np.repeat(upto - n_words, n_shingles) + offset
+    span = np.repeat(np.minimum(n_words, COPY_WORDS), n_shingles)
+    h = span.astype(np.uint64) * _P5
+    for k in range(COPY_WORDS):
+        more = span > k if k else slice(None)
+        h[more] = _rotl((h[more] ^ each[begin[more] + k]) * _P2, 31) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    h ^= h >> np.uint64(32)
+    owner = np.repeat(np.array(full), n_shingles)
+    order = np.lexsort((h, owner))
+    owner, h = owner[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return owner[new], h[new]
+
+
+def _text_blocks(texts: list[bytes]):
+    """The texts in runs of about ``_BLOCK`` bytes, with the place of each run's first."""
+    at, size = 0, 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= _BLOCK or k == len(texts) - 1:
+            yield at, texts[at : k + 1]
+            at, size = k + 1, 0
+
+
+def _counter(shingle: np.ndarray) -> np.ndarray:
+    return (shingle >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def _signatures(owner: np.ndarray, shingle: np.ndarray, n: int) -> list[bytes]:
+    """Per text, which of ``SIGNATURE_BITS`` residues occur an odd number of times in its set. Two
+    sets differ in at least as many shingles as their signatures in bits."""
+    place = owner * SIGNATURE_BITS + (shingle % np.uint64(SIGNATURE_BITS)).astype(np.int64)
+    odd = np.bincount(place, minlength=n * SIGNATURE_BITS).reshape(n, -1) & 1
+    return [bytes(row) for row in np.packbits(odd.astype(np.uint8), axis=1)]
+
+
+def shingle_counts(parts: DataFrame) -> np.ndarray:
+    """The counters of all texts' shingles, summed from ``part, counts`` of each task."""
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                more = np.frombuffer(counts, "<i8")
+                sums[part] = sums[part] + more if part in sums else more
+        yield pa.RecordBatch.from_pydict(
+            {"part": pa.array(list(sums), pa.int32()), "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())}
+        )
+
+    out = np.zeros((_PARTS, COUNTERS // _PARTS), np.int64)
+    for row in map_arrow(parts.select("part", "counts").repartition(n, "part"), add, "part int, counts binary").collect():
+        out[row.part] = np.frombuffer(bytes(row.counts), "<i8")
+    return out.reshape(-1)
+
+
+def _needed(n: np.ndarray, similarity: float) -> np.ndarray:
+    """How many shingles of a set of ``n`` any similar set holds at least; less where rounding could err."""
+    return np.ceil(similarity * n - 1e-6).astype(np.int64)
+
+
+def prefix_postings(docs: DataFrame, counts: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+    """``shingle, norm, n, place``: of each text the first shingles in an order that all texts
+    share, rarely counted ones first: as many as must hold one in common with any similar set."""
+
+    def post(batches):
+        known: set[int] = set()
+        for batch in batches:
+            texts = text_bytes(batch.column(0))
+            for _, block in _text_blocks(texts):
+                norms = [xxhash.xxh64_intdigest(b" ".join(t.lower().split())) for t in block]
+                fresh = []
+                for k, norm in enumerate(norms):
+                    if norm not in known:
+                        known.add(norm)
+                        fresh.append(k)
+                if len(known) > 100_000:  # copies are told apart later as well
+                    known.clear()
+                owner, h = shingle_sets([block[k] for k in fresh])
+                order = np.lexsort((h, counts[_counter(h)], owner))
+                owner, h = owner[order], h[order]
+                n = np.bincount(owner, minlength=len(fresh))
+                place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                keep = place <= np.repeat(n - _needed(n, similarity), n)
+                owner = owner[keep]
+                norm = np.array([norms[k] for k in fresh], np.uint64).view(np.int64)
+                columns = (h[keep].view(np.int64), norm[owner], n[owner].astype(np.int32), place[keep].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["shingle", "norm", "n", "place"])
+
+    return map_arrow(docs.select("text"), post, "shingle long, norm long, n int, place int")
+
+
+def _possible(rows: list[np.ndarray], k: int, low: int, high: int, similarity: float) -> np.ndarray:
+    """Which of the members ``low`` to ``high`` of a list may be similar to member ``k``, of another
+    label: by sizes, by what is left behind the shared shingle, and by signatures."""
+    label, norm, n, place, block, bits = rows
+    both = n[k] + n[low:high]
+    least = np.ceil(similarity / (1 + similarity) * both - 1e-6)
+    most = np.minimum(n[k] - place[k], n[low:high] - place[low:high])
+    near = np.flatnonzero((label[low:high] != label[k]) & (most >= least) & (_needed(n[low:high], similarity) <= n[k])) + low
+    apart = np.bitwise_count(bits[near] ^ bits[k]).sum(axis=1, dtype=np.int64)
+    return near[both[near - low] - apart >= 2 * least[near - low]]
+
+
+def _pairs_in(lists: DataFrame, keys: list[str], limit: int, similarity: float) -> DataFrame:
+    """``a, b, block``: pairs of each list that may be similar, ``block`` being null, with the
+    other columns; and the members of lists of over ``limit``, in blocks of so many, ``b`` being null."""
+    columns = [*keys, "label", "norm", "n", "place", "block", "signature"]
+    cells = "low" in keys
+
+    def pair(batches):
+        key, held, size, seen = None, [], 0, 0
+        dense = False
+
+        def made(a, b, rows=None) -> pa.RecordBatch:
+            rest = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            if rows is not None:
+                label, norm, n, place, block, bits = rows
+                one = [pa.array(np.full(len(norm), key[0], np.int64)), *map(pa.array, (label, n, place, block))]
+                rest = [*one, pa.array([bytes(x) for x in bits], pa.binary())]
+            names = ["a", "b", "shingle", "label", "n", "place", "block", "signature"]
+            return pa.RecordBatch.from_arrays([pa.array(a), b if isinstance(b, pa.Array) else pa.array(b), *rest], names)
+
+        def compared():
+            rows = [np.concatenate(x) for x in zip(*held)]
+            order = np.lexsort((rows[1], rows[2]))
+            rows = [x[order] for x in rows]
+            # A text that several tasks posted is one.
+            once = np.ones(len(order), bool)
+            once[1:] = rows[1][1:] != rows[1][:-1]
+            rows = [x[once] for x in rows]
+            norm, n, block = rows[1], rows[2], rows[4]
+            ends = np.searchsorted(_needed(n, similarity), n, side="right")
+            left, right, total = [], [], 0
+            for k in range(len(norm) - 1):
+                near = _possible(rows, k, k + 1, int(ends[k]), similarity) if ends[k] > k + 1 else ()
+                if cells and key[1] != key[2] and len(near):
+                    near = near[block[near] != block[k]]
+                if len(near):
+                    left.append(np.full(len(near), norm[k]))
+                    right.append(norm[near])
+                    total += len(near)
+                if total > 1 << 16 or (k == len(norm) - 2 and total):
+                    yield made(np.concatenate(left), np.concatenate(right))
+                    left, right, total = [], [], 0
+
+        def parted():
+            nonlocal held, seen
+            rows = [np.concatenate(x) for x in zip(*held)]
+            rows[4] = (seen + np.arange(len(rows[1]))) // limit
+            seen, held = seen + len(rows[1]), []
+            return made(rows[1], pa.nulls(len(rows[1]), pa.int64()), rows)
+
+        for batch in batches:
+            own = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(keys))])
+            label, norm, n, place, block = (
+                batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(keys), len(columns) - 1)
+            )
+            bits = np.frombuffer(b"".join(batch.column(len(columns) - 1).to_pylist()), np.uint64).reshape(-1, SIGNATURE_BITS // 64)
+            rows = [label, norm, n, place, block, bits]
+            cuts = np.flatnonzero((own[:, 1:] != own[:, :-1]).any(axis=0)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if (this := tuple(own[:, i].tolist())) != key:
+                    if not dense and size > 1:
+                        yield from compared()
+                    key, held, size, seen, dense = this, [], 0, 0, False
+                held.append([x[i:j] for x in rows])
+                size += j - i
+                dense = dense or size > limit
+                if dense:
+                    yield parted()
+        if not dense and size > 1:
+            yield from compared()
+
+    schema = "a long, b long, shingle long, label long, n long, place long, block long, signature binary"
+    return map_arrow(lists.select(columns), pair, schema, 8192)
+
+
+def remaining_pairs(
+    docs: DataFrame, nodes: DataFrame, labels: DataFrame, counts: np.ndarray, limit: int = LIST_LIMIT, similarity: float = SIMILARITY
+) -> DataFrame:
+    """``u, v``: every pair of ``nodes`` with different ``label`` that may be similar.
+
+    This is exact: similar sets have a shingle in common among the first of each, whatever the
+    order, so they meet in a list; sizes, places and signatures only rule out pairs that can't be
+    similar. Lists of one label end early. Lists of over ``limit`` are compared block by block.
+    """
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posted = prefix_postings(docs, counts, similarity).join(labels, "norm", "left")
+    posted = posted.withColumn("label", F.coalesce("label", "norm"))
+    own = Window.partitionBy("shingle")
+    dealt = posted.repartition(n, "shingle").select("*", F.min("label").over(own).alias("low"), F.max("label").over(own).alias("top"))
+    mixed = stored(dealt.filter("low <> top").drop("low", "top"), "mixed")
+    signed = mixed.join(nodes.select("norm", "signature"), "norm").withColumn("block", F.lit(0).cast("long"))
+    lists = signed.repartition(n, "shingle").sortWithinPartitions("shingle", "norm")
+    found = stored(_pairs_in(lists, ["shingle"], limit, similarity), "meetings")
+    pairs = found.filter("block is null").select("a", "b")
+    dense = found.filter("block is not null").drop("b").withColumnRenamed("a", "norm")
+    if not dense.isEmpty():
+        last = dense.groupBy("shingle").agg(F.max("block").alias("last"))
+        each = dense.join(last, "shingle").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+        cells = each.withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with"))
+        keys = ["shingle", "low", "high"]
+        dealt = cells.repartition(n, *keys).sortWithinPartitions(*keys, "norm")
+        pairs = pairs.union(stored(_pairs_in(dealt, keys, 2 * limit, similarity), "cells").select("a", "b"))
+    return stored(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "pairs")
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``a, b``: the ``pairs`` (``u, v``) of ``nodes`` (``norm, head``) whose 5-word shingles, read from
+    the texts of ``docs``, are similar enough."""
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("norm")).distinct().join(nodes, "norm")
     wanted = stored(wanted.select("norm", "head.doc_id", "head.text_hash"), "wanted")
     few = wanted.count() <= BROADCAST_TEXTS
 
     def shingles(batches):
         for batch in batches:
-            lists = []
-            for text in text_bytes(batch.column(1)):
-                words = text.lower().split()
-                hashes = _shingle_hashes([b" ".join(words)], COPY_WORDS)[0] if words else np.empty(0, np.uint64)
-                lists.append(np.unique(hashes.astype(np.uint32)).view(np.int32))
-            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-            flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["norm", "shingles"]
-            )
+            for at, block in _text_blocks(text_bytes(batch.column(1))):
+                owner, h = shingle_sets(block)
+                ends = np.searchsorted(owner, np.arange(len(block) + 1)).astype(np.int32)
+                sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), sets], ["norm", "shingles"])
 
     rows = docs.select("doc_id", text_hash().alias("text_hash"), "text")
     texts = rows.join(F.broadcast(wanted) if few else wanted, ["doc_id", "text_hash"]).select("norm", "text")
-    sets = map_arrow(texts, shingles, "norm long, shingles array<int>").groupBy("norm").agg(F.first("shingles").alias("s"))
+    sets = map_arrow(texts, shingles, "norm long, shingles array<long>").groupBy("norm").agg(F.first("shingles").alias("s"))
     sets = stored(sets, "shingles")
     both = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
     common = F.size(F.array_intersect("x", "y"))
@@ -545,39 +770,74 @@ def copy_links(docs: DataFrame, nodes: DataFrame, limit: int = LIST_LIMIT, simil
     return both.filter(alike).select(F.col("u").alias("a"), F.col("v").alias("b"))
 
 
+def copy_links(
+    docs: DataFrame, nodes: DataFrame, counts: np.ndarray, limit: int = LIST_LIMIT, similarity: float = SIMILARITY
+) -> DataFrame:
+    """``a, b``: verified links that connect all ``nodes`` (``norm, fps, signature, head``) that
+    similar pairs connect.
+
+    First a forest of the candidates by either fingerprint is verified. Of what the links found don't
+    connect yet, every pair that may be similar is verified, so none is lost to the forest or the
+    fingerprints.
+    """
+    links = candidates(nodes, 0, limit).union(candidates(nodes, 1, limit))
+    near = stored(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "pairs")
+    first = stored(verified(docs, nodes, near, similarity), "first_links")
+    labels = components(first).toDF("norm", "label")
+    rest = remaining_pairs(docs, nodes, labels, counts, limit, similarity)
+    return first.union(verified(docs, nodes, rest, similarity))
+
+
 def keep_one_copy(docs: DataFrame, limit: int = LIST_LIMIT, similarity: float = SIMILARITY) -> DataFrame:
     """The same columns, one row of each group of near copies: that with the least doc_id, then
     the least text hash. Texts are copies if they have the same words or are verified to share
     ``similarity`` of their 5-word shingles; groups are what such links connect.
 
-    Candidates come from the same index with other parameters: two fingerprints of distinct
-    two-word shingles, which stay near where 5-word shingles of similar texts already differ; three
-    shared bytes and 12 bits in one, 16 bits in the other. That isn't exact: of pairs with a similarity
-    of 0.8 it misses some (see the README); what it links is verified. It is the same for lists of all
-    lengths. Rows without doc_id stay as they are.
+    Most are found by the same index with other parameters: two fingerprints of distinct two-word
+    shingles, which stay near where 5-word shingles of similar texts already differ; three shared
+    bytes and 12 bits in one, 16 bits in the other. An index of first shingles completes them
+    (``remaining_pairs``), so that the groups are those of all similar pairs. Rows without doc_id stay
+    as they are.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def compute(batches):
+        counts = np.zeros(COUNTERS, np.int64)
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary()]
+        names = ["text_hash", "norm", "fps", "signature", "part", "counts"]
+        id_kind = pa.null()
         for batch in batches:
+            id_kind = batch.column(0).type
             texts = text_bytes(batch.column(2))
             fps = np.stack([simhash(texts, FEATURE_WORDS, True, seed) for seed in COPY_SEEDS], axis=1)
+            signatures = []
+            for _, block in _text_blocks(texts):
+                owner, h = shingle_sets(block)
+                signatures += _signatures(owner, h, len(block))
+                counts += np.bincount(_counter(h), minlength=COUNTERS)
             ends = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(COPY_SEEDS))
             norm = [xxhash.xxh64_intdigest(b" ".join(t.lower().split())) for t in texts]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column(0), "text_hash": batch.column(1),
-                    "norm": pa.array(np.array(norm, np.uint64).view(np.int64)),
-                    "fps": pa.ListArray.from_arrays(ends, pa.array(fps.reshape(-1).view(np.int64))),
-                }
-            )
+            columns = [
+                batch.column(1), pa.array(np.array(norm, np.uint64).view(np.int64)),
+                pa.ListArray.from_arrays(ends, pa.array(fps.reshape(-1).view(np.int64))), pa.array(signatures, pa.binary()),
+                *(pa.nulls(len(texts), kind) for kind in kinds[4:]),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
+        if counts.any():
+            columns = [pa.nulls(_PARTS, kind) for kind in kinds[:4]]
+            columns += [pa.array(np.arange(_PARTS, dtype=np.int32)), pa.array([x.tobytes() for x in counts.reshape(_PARTS, -1)])]
+            yield pa.RecordBatch.from_arrays([pa.nulls(_PARTS, id_kind), *columns], ["doc_id", *names])
 
     known = docs.filter("doc_id is not null")
     named = known.select("doc_id", text_hash().alias("text_hash"), "text")
-    rows = map_arrow(named, compute, f"doc_id {id_type}, text_hash long, norm long, fps array<long>")
-    nodes = rows.groupBy("norm").agg(F.min("fps").alias("fps"), F.min(F.struct("doc_id", "text_hash")).alias("head"))
+    schema = f"doc_id {id_type}, text_hash long, norm long, fps array<long>, signature binary, part int, counts binary"
+    made = stored(map_arrow(named, compute, schema), "copies")
+    counts = shingle_counts(made.filter("part is not null"))
+    least = F.min(F.struct("doc_id", "text_hash")).alias("head")
+    rows = made.filter("part is null").groupBy("norm")
+    nodes = rows.agg(F.min("fps").alias("fps"), F.min("signature").alias("signature"), least)
     nodes = stored(nodes, "nodes")
-    labels = components(copy_links(known, nodes, limit, similarity)).toDF("norm", "label")
+    labels = components(copy_links(known, nodes, counts, limit, similarity)).toDF("norm", "label")
     grouped = nodes.join(labels, "norm", "left").groupBy(F.coalesce("label", "norm").alias("of"))
     kept = grouped.agg(F.min("head").alias("head")).select("head.doc_id", "head.text_hash")
     return _rows_of(docs, kept)
