@@ -33,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored
+from .common import forgotten, map_arrow, stored
 from .lexicon import Lexicon, compile_lexicon
 
 #: Pieces, and characters of pieces, that a worker remembers in each of two generations.
@@ -223,12 +223,15 @@ def vocabulary_of(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec_of(path: str, lexicon_file: str) -> Codec:
     """A worker's codec, kept over its tasks; the lexicon is mapped from the distributed file."""
     return Codec(vocabulary_of(path), Lexicon.open(SparkFiles.get(lexicon_file)))
 
 
+forgotten(codec_of.cache_clear, vocabulary_of.cache_clear)
+
+
 def frequent_words(docs: DataFrame, text_col: str = "text", share: int = FREQUENT) -> list[str]:
     """Words (runs between white space) of all texts, in order: every word with over 1/``share`` of
     all occurrences is among them, and none that has under half of that.

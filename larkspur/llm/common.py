@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -27,6 +29,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What empties the caches that a worker's functions fill, and the function whose tasks it ran last.
+_FORGET: list[Callable[[], None]] = []
+_LAST: list[str] = []
+
+
+def forgotten(*clear: Callable[[], None]) -> None:
+    """Have workers call these when they turn to another function's tasks: they outlive a query."""
+    _FORGET.extend(clear)
+
+
+def turn_to(function: str) -> None:
+    """In a worker, before a task of ``function``: drop what was kept for another one's tasks."""
+    if _LAST != [function]:
+        for clear in _FORGET:
+            clear()
+        _LAST[:] = [function]
+
+
+def give_back() -> None:
+    """Return the memory that a task has freed to the system; else idle workers hold their peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(
     df: DataFrame,
     fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]],
@@ -38,13 +66,19 @@ def map_arrow(
     Batches are cut where they arrive; the session's settings, which belong to its user, stay.
     """
     ship(df.sparkSession)
+    function = uuid.uuid4().hex
 
     def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, batch_rows):
                 yield batch.slice(at, batch_rows)
 
-    return df.mapInArrow(lambda batches: fn(in_slices(batches)), schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(function)
+        yield from fn(in_slices(batches))
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
