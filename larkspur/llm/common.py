@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.runtime import ship, stored
+from ..plans.runtime import gathered, ship, stored
 
-__all__ = ["BATCH_ROWS", "HELPER", "WORD_SEPARATORS", "map_arrow", "stored", "table", "text_bytes", "text_hash"]
+__all__ = ["BATCH_ROWS", "HELPER", "WORD_SEPARATORS", "gathered", "map_arrow", "stored", "table", "text_bytes", "text_hash"]
 
 #: Rows that a function gets at a time. Texts may be long, so that is few: what a function makes of
 #: them stays small, however large the batches are that Spark sends (64 MB at most by default).

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HELPER, map_arrow, stored, text_bytes, text_hash
+from .common import HELPER, gathered, map_arrow, stored, text_bytes, text_hash
 
 SHINGLE = 4
 SEED = 42
@@ -498,7 +498,7 @@ def candidates(nodes: DataFrame, seed: int, limit: int = LIST_LIMIT) -> DataFram
     """
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = nodes.select(F.col("fps")[seed].alias("fp"), F.col("fps")[1 - seed].alias("other"), "norm")
-    found = stored(_links_in(shared_lists(postings(own, COPY_SHARED)), ["quad", "bytes"], limit), "lists")
+    found = gathered(_links_in(shared_lists(postings(own, COPY_SHARED)), ["quad", "bytes"], limit), "lists", "a")
     links = found.filter("block is null").select("a", "b")
     dense = found.filter("block is not null").drop("b").withColumnRenamed("a", "norm")
     if dense.isEmpty():
@@ -510,7 +510,7 @@ def candidates(nodes: DataFrame, seed: int, limit: int = LIST_LIMIT) -> DataFram
     )
     keys = ["quad", "bytes", "low", "high"]
     dealt = cells.repartition(n, *keys).sortWithinPartitions(*keys, "fp", "norm")
-    return links.union(stored(_links_in(dealt, keys, 2 * limit), "cells").select("a", "b"))
+    return links.union(gathered(_links_in(dealt, keys, 2 * limit), "cells", "a").select("a", "b"))
 
 
 #: Bits of a set's signature, and counters of all sets' shingles: the latter only order them.
@@ -729,10 +729,10 @@ def remaining_pairs(
     posted = posted.withColumn("label", F.coalesce("label", "norm"))
     own = Window.partitionBy("shingle")
     dealt = posted.repartition(n, "shingle").select("*", F.min("label").over(own).alias("low"), F.max("label").over(own).alias("top"))
-    mixed = stored(dealt.filter("low <> top").drop("low", "top"), "mixed")
+    mixed = dealt.filter("low <> top").drop("low", "top")
     signed = mixed.join(nodes.select("norm", "signature"), "norm").withColumn("block", F.lit(0).cast("long"))
     lists = signed.repartition(n, "shingle").sortWithinPartitions("shingle", "norm")
-    found = stored(_pairs_in(lists, ["shingle"], limit, similarity), "meetings")
+    found = gathered(_pairs_in(lists, ["shingle"], limit, similarity), "meetings", "a")
     pairs = found.filter("block is null").select("a", "b")
     dense = found.filter("block is not null").drop("b").withColumnRenamed("a", "norm")
     if not dense.isEmpty():
@@ -741,7 +741,7 @@ def remaining_pairs(
         cells = each.withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with"))
         keys = ["shingle", "low", "high"]
         dealt = cells.repartition(n, *keys).sortWithinPartitions(*keys, "norm")
-        pairs = pairs.union(stored(_pairs_in(dealt, keys, 2 * limit, similarity), "cells").select("a", "b"))
+        pairs = pairs.union(gathered(_pairs_in(dealt, keys, 2 * limit, similarity), "cells", "a").select("a", "b"))
     return stored(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "pairs")
 
 
